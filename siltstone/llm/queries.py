@@ -1,9 +1,20 @@
 """Queries of this subpackage by name, and their DuckDB SQL where SQL can express them."""
 
 from siltstone.llm.decontaminate import OP9_SQL, op9_decontamination
+from siltstone.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from siltstone.llm.langid import op8_langid
 from siltstone.llm.mixing import OP2_SQL, op2_mixing
 from siltstone.llm.sharding import op7_sharding
+from siltstone.llm.url_filter import op10_url_filter
+from siltstone.llm.warc import OP5_SQL, op5_warc
 
-QUERIES = {"op2_mixing": op2_mixing, "op7_sharding": op7_sharding, "op8_langid": op8_langid, "op9_decontamination": op9_decontamination}
-SQL = {"op2_mixing": OP2_SQL, "op9_decontamination": OP9_SQL}
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_mixing": op2_mixing,
+    "op5_warc": op5_warc,
+    "op7_sharding": op7_sharding,
+    "op8_langid": op8_langid,
+    "op9_decontamination": op9_decontamination,
+    "op10_url_filter": op10_url_filter,
+}
+SQL = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op5_warc": OP5_SQL, "op9_decontamination": OP9_SQL}

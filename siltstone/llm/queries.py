@@ -3,6 +3,7 @@
 from siltstone.llm.decontaminate import OP9_SQL, op9_decontamination
 from siltstone.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from siltstone.llm.langid import op8_langid
+from siltstone.llm.line_dedup import op3_line_dedup
 from siltstone.llm.mixing import OP2_SQL, op2_mixing
 from siltstone.llm.sharding import op7_sharding
 from siltstone.llm.url_filter import op10_url_filter
@@ -11,6 +12,7 @@ from siltstone.llm.warc import OP5_SQL, op5_warc
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op3_line_dedup": op3_line_dedup,
     "op5_warc": op5_warc,
     "op7_sharding": op7_sharding,
     "op8_langid": op8_langid,

@@ -34,8 +34,10 @@ FREQUENT = 500_000
 _RNG = np.random.default_rng(20240611)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _MULT = [int(x) | 1 for x in _RNG.integers(0, 1 << 63, 64, dtype=np.uint64)]
-_BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64)]
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes hashed at once; a text is cut between words.
+SLICE = 1 << 17
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -44,44 +46,96 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    """1, B, B*B, ...: at least n of them."""
-    if len(_POWERS[0]) < n:
-        p, size = np.ones(1, np.uint64), 1
-        while size < n:
-            p, size = np.concatenate([p, p * np.uint64(pow(_BASE, size, 1 << 64))]), 2 * size
-        _POWERS[0] = p
-    return _POWERS[0]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """1, B, B * B, ... and their inverses: at least n of each."""
+    if not _POWERS or len(_POWERS[-1][0]) < n:
+        found, inverse = [], pow(_BASE, -1, 1 << 64)
+        for base in (_BASE, inverse):
+            p, size = np.ones(1, np.uint64), 1
+            while size < max(n, SLICE):
+                p, size = np.concatenate([p, p * np.uint64(pow(base, size, 1 << 64))]), 2 * size
+            found.append(p)
+        _POWERS[:] = [tuple(found)]
+    return _POWERS[-1]
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A hash for each word of data; words end at blanks and \\x09-\\x0D."""
-    if not data:
-        return np.empty(0, np.uint64)
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of data and its start; words end at blanks and \\x09-\\x0D."""
     raw = np.frombuffer(data, np.uint8)
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    out, size = np.zeros(len(start), np.uint64), end - start
-    for k in range(int(size[size <= 64].max(initial=0))):  # the k-th byte of every word that has one
-        own = (size > k) & (size <= 64)
-        out[own] = out[own] * np.uint64(_BASE) + _BYTE[raw[start[own] + k]]
-    for i in np.flatnonzero(size > 64).tolist():
-        out[i] = (_BYTE[raw[start[i] : end[i]]] * _powers(int(size[i]))[: size[i]][::-1]).sum(dtype=np.uint64)
-    return _mix(out + size.astype(np.uint64))
-
-
-def ngram_set(text: str | None, words: int) -> np.ndarray:
-    """The sorted distinct n-gram hashes of a text, A-Z lower-cased; with fewer words the whole sequence is one."""
-    h = word_hashes((text or "").encode("utf-8", "replace").lower())
+    blank = (raw == 32) | ((raw - np.uint8(9)) <= 4)
+    edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    power, inverse = _powers(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * power[: len(raw)], out=sums[1:])
+    return _mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)), start
+
+
+def _set_of(h: np.ndarray, words: int) -> np.ndarray:
     if not len(h):
         return h
     n = min(words, len(h))
-    total = np.full(len(h) - n + 1, n, np.uint64)
+    last = len(h) - n + 1
+    total = np.full(last, n, np.uint64)
     for j in range(n):
-        total = total + h[j : len(h) - n + 1 + j] * np.uint64(_MULT[j % 64])
-        total = _mix(total) if n > 1 else total
-    return np.unique(_mix(total))
+        total += h[j : last + j] * np.uint64(_MULT[j % 64])
+    total = np.sort(_mix(total))
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
+
+
+def _sets_of(h: np.ndarray, cuts: np.ndarray, words: int) -> list[np.ndarray]:
+    """_set_of for the words between neighbouring cuts."""
+    if len(h) < words:
+        return [_set_of(h[x:y], words) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    last = len(h) - words + 1
+    total = np.full(last, words, np.uint64)
+    for j in range(words):
+        total += h[j : last + j] * np.uint64(_MULT[j % 64])
+    total, out = _mix(total), []
+    spans = [(x, y - words + 1) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    for x, y in spans:
+        if y > x:
+            total[x:y].sort()
+    new = np.concatenate([[True], total[1:] != total[:-1]])
+    new[cuts[cuts < last]] = True
+    for (x, y), end in zip(spans, cuts[1:].tolist(), strict=True):
+        out.append(total[x:y][new[x:y]] if y > x else _set_of(h[x:end], words))
+    return out
+
+
+def ngram_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """The sorted distinct n-gram hashes of each text, A-Z lower-cased; with fewer words the whole sequence is one."""
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+
+    def flush() -> None:
+        if group:
+            h, start = _words(b" ".join(group))
+            cuts = np.searchsorted(start, np.cumsum([0] + [len(g) + 1 for g in group]))
+            out.extend(_sets_of(h, cuts, words))
+            group.clear()
+
+    size = 0
+    for t in texts:
+        data = (t or "").encode("utf-8", "replace").lower()
+        if size + len(data) > SLICE:
+            flush()
+            size = 0
+        if len(data) <= SLICE:
+            group.append(data)
+            size += len(data)
+            continue
+        parts, at = [], 0
+        while at < len(data):  # cut after a blank, or at the end of a word that is longer than a slice
+            end = min(len(data), at + SLICE)
+            if end < len(data):
+                last = max(data.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r"))
+                end = last + 1 if last >= at else min([x for c in (b" ", b"\n", b"\t", b"\r") if (x := data.find(c, end)) >= 0], default=len(data))
+            parts.append(_words(data[at:end])[0])
+            at = end
+        out.append(_set_of(np.concatenate(parts), words))
+    flush()
+    return out
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -109,8 +163,7 @@ def _count_frequent(words: int, window: int = 1 << 20, least: int = 4):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, size = {}, 0
         for b in batches:
-            for t in b.column(0):
-                s = ngram_set(t.as_py(), words)
+            for s in ngram_sets(b.column(0).to_pylist(), words):
                 sets[hashlib.blake2b(s.tobytes(), digest_size=16).digest()] = s  # copies count once
                 size += len(s)
                 if size >= window:
@@ -126,8 +179,7 @@ def _sets(words: int, percent: int, frequent):
         often = frequent.value
         for b in batches:
             keys, sizes, parts = [], [], []
-            for t in b.column("_text"):
-                s = ngram_set(t.as_py(), words)
+            for s in ngram_sets(b.column("_text").to_pylist(), words):
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sizes.append(len(s))
                 parts.append(prefix(s, often, percent).view(np.int64))
@@ -221,7 +273,7 @@ def _blocks(words: int, percent: int):
 
     def links(members: list[tuple[int, str]]) -> Iterator[tuple[int, int]]:
         if len(members) > 1:
-            sets = [ngram_set(t, words) for _, t in members]
+            sets = ngram_sets([t for _, t in members], words)
             yield from ((members[i][0], members[j][0]) for i, j in forest(sets, percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +300,8 @@ def _verify(words: int, percent: int):
             out = []
             for a, c, s, t in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("_s"), b.column("_t"), strict=True):
                 if a != last:
-                    last, own = a, ngram_set(s.as_py(), words)
-                other = ngram_set(t.as_py(), words)
+                    last, own = a, ngram_sets([s.as_py()], words)[0]
+                other = ngram_sets([t.as_py()], words)[0]
                 if len(np.intersect1d(own, other, assume_unique=True)) >= least_overlap(len(own), len(other), percent):
                     out.append((a, c))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])

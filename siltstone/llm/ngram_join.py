@@ -36,7 +36,7 @@ _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _MULT = [int(x) | 1 for x in _RNG.integers(0, 1 << 63, 64, dtype=np.uint64)]
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes hashed at once; a text is cut between words.
-SLICE = 1 << 17
+SLICE = 1 << 16
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 

@@ -7,6 +7,7 @@ from siltstone.llm.line_dedup import op3_line_dedup
 from siltstone.llm.mixing import OP2_SQL, op2_mixing
 from siltstone.llm.ngram_join import op6_ngram_join
 from siltstone.llm.sharding import op7_sharding
+from siltstone.llm.suffix_dedup import op4_suffix_dedup
 from siltstone.llm.url_filter import op10_url_filter
 from siltstone.llm.warc import OP5_SQL, op5_warc
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_warc": op5_warc,
     "op6_ngram_join": op6_ngram_join,
     "op7_sharding": op7_sharding,

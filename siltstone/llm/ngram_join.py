@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import need
+from siltstone.llm.common import fresh, need
 from siltstone.session import settle, table
 
 #: Words of an n-gram and the least similarity, in percent, where no contract says otherwise.
@@ -327,7 +327,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """A row for each row of docs: its id, n_shingles, component_id, class_id, stays.
+    """A row for each row of docs: its id, n_shingles, component_id, class_id, stays, row (its monotonically_increasing_id in docs).
 
     Two documents link if 100 * overlap >= percent * union of their n-gram sets. component_id is the smallest id that
     links reach, class_id that of the documents with the same set, and `stays` marks one row of each component: that
@@ -376,7 +376,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     ends = labelled.join(best, F.col("_label") == F.col("_l")).select(F.col("_key").alias("_k"), F.col("_least").alias("class_id"), "component_id", "_stay")
     out = sets.select("_id", "_row", F.col("_n").alias("n_shingles"), "_key").join(ends, F.col("_key") == F.col("_k"), "left")
     alone = F.col("_k").isNull()
-    return out.select(F.col("_id").alias(id_col), "n_shingles", F.when(alone, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), (alone | (F.col("_row") == F.col("_stay"))).alias("stays"))
+    return out.select(F.col("_id").alias(id_col), "n_shingles", F.when(alone, F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), (alone | (F.col("_row") == F.col("_stay"))).alias("stays"), F.col("_row").alias("row"))
+
+
+def jaccard_stays(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs, all columns, with one row of each component and all rows without a set."""
+    row = fresh(docs, "_row")
+    keep = settle(jaccard_components(docs, id_col, text, **options).where("stays").select(F.col("row").alias("_keep")))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(keep, F.col(row) == F.col("_keep"), "left_semi").drop(row)
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

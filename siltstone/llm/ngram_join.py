@@ -1,13 +1,13 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
 Documents with equal n-gram sets are one class, and only classes are joined. N-grams have one global order, frequent
-ones last; if two sets are similar enough, the first n - a + l n-grams of each, with a the least overlap that their
-sizes allow, have l in common. So only those prefixes are multiplied first, and only n-grams that two classes share
-become rows. Classes that share one are put in blocks of a bounded size and a block's incidence is multiplied whole,
-which joins nearly all that belongs together. What is left are pairs of classes of different components that share a
-prefix n-gram: their overlap counts are accumulated, pairs below the bound that their sizes give are discarded, and the
-rest is compared on whole sets. Links are only needed until two classes are in one component, so that a group of m near
-copies gives about m links, not m * m.
+ones last; if two sets are similar enough, the first n - a + 1 n-grams of each, with a the least overlap that their
+sizes allow, have one in common. So only those prefixes are multiplied first, and only n-grams that two classes share
+become rows. Pairs of classes below such an n-gram are discarded where their sizes, or their n-grams' counts by hash
+bin, bound the overlap below what is needed; of the pairs left no list gives more than the edges that hold its members
+together. The components of these edges hold every link. Each is put in blocks of a bounded size, in which the whole
+incidence is multiplied, accumulating overlap counts, and again a block gives no more links than hold it together: a
+group of m near copies gives about m links, not m * m.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import fresh, need
-from siltstone.session import settle, table
+from siltstone.session import settle, small, table
 
 #: Words of an n-gram and the least similarity, in percent, where no contract says otherwise.
 WORDS, PERCENT = 5, 80
-#: N-grams that prefixes must share; the prefixes grow by as many.
-SHARED = 3
-#: Classes in a block of the product, n-grams multiplied at once, classes per partition of the shared n-grams' search.
-BLOCK, COLUMNS, PER_BUCKET = 256, 4096, 20_000
+#: Classes in a block of the product, n-grams multiplied at once, classes per partition of the shared n-grams' search,
+#: and members of a list that are compared at once.
+BLOCK, COLUMNS, PER_BUCKET, LIST = 256, 4096, 20_000, 4096
+#: Bins of the counts that bound an overlap, by set size; larger numbers fold to smaller ones.
+BINS = ((1024, 32), (4096, 64), (1 << 62, 256))
 #: The frequent n-grams that are ordered last: a fixed bound on what is broadcast (8 bytes each). Any order gives the same result.
 FREQUENT = 500_000
 _RNG = np.random.default_rng(20240611)
@@ -146,7 +147,7 @@ def least_overlap(a: int, b: int, percent: int) -> int:
 def prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """The first n-grams in the global order: frequent ones last, else by hash. frequent: sorted."""
     n = len(tokens)
-    take = min(n, n + (-percent * n // 100) + SHARED)
+    take = min(n, n + (-percent * n // 100) + 1)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = frequent[at] == tokens
@@ -154,6 +155,16 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray
     return tokens[:take]
 
 
+def bins(tokens: np.ndarray) -> bytes:
+    """How many n-grams fall in each hash bin, 255 at most. The sum of two sets' differences is a lower bound of the n-grams that only one has."""
+    n = next(b for most, b in BINS if len(tokens) < most)
+    return np.minimum(np.bincount(((tokens >> np.uint64(7)) & np.uint64(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def folded(counts: np.ndarray, n: int) -> np.ndarray:
+    return counts.astype(np.int32).reshape(-1, n).sum(axis=0)
+
+
 def _count_frequent(words: int, window: int = 1 << 20, least: int = 4):
     def flush(sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True) if sets else (np.empty(0, np.uint64),) * 2
@@ -178,49 +189,51 @@ def _sets(words: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for b in batches:
-            keys, sizes, parts = [], [], []
+            keys, sizes, parts, counts = [], [], [], []
             for s in ngram_sets(b.column("_text").to_pylist(), words):
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sizes.append(len(s))
                 parts.append(prefix(s, often, percent).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_row"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64()))], names=["_id", "_row", "_n", "_key", "_prefix"])
+                counts.append(bins(s))
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_row"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["_id", "_row", "_n", "_key", "_prefix", "_bins"])
 
     return run
 
 
 def _dealt(buckets: int):
-    """Prefix n-grams by bucket: a row for each bucket and batch, with the n-grams, classes and sizes as packed arrays."""
+    """Prefix n-grams by bucket: a row for each bucket and batch, with the n-grams and classes as packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             part = b.column("_prefix")
             h = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            lengths = np.diff(part.offsets.to_numpy())
-            cls, n = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), lengths) for c in ("_row", "_n"))
+            cls = np.repeat(b.column("_row").to_numpy(zero_copy_only=False), np.diff(part.offsets.to_numpy()))
             to = (h >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(to, kind="stable")
-            h, cls, n, to = h[order], cls[order], n[order], to[order]
+            h, cls, to = h[order], cls[order], to[order]
             cuts = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(k, h[x:y].tobytes(), cls[x:y].tobytes(), n[x:y].astype(np.int32).tobytes()) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-            yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "h", "cls", "n"), r, strict=True)) for r in rows], schema=pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("cls", pa.binary()), ("n", pa.binary())]))
+            rows = [{"bucket": k, "h": h[x:y].tobytes(), "cls": cls[x:y].tobytes()} for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("cls", pa.binary())]))
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-grams that two classes have, from rows of _dealt that are sorted by bucket."""
+    """n-grams that two classes have, with the number that have it, from rows of _dealt that are sorted by bucket."""
 
-    def found(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        h, cls, n = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate((np.int64, np.int64, np.int32)))
+    def found(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        h, cls = (np.frombuffer(b"".join(r[k] for r in rows), np.int64) for k in (0, 1))
         order = np.argsort(h, kind="stable")
-        h, cls, n = h[order], cls[order], n[order]
-        same = h[1:] == h[:-1]
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        return pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(cls[keep]), pa.array(n[keep])], names=["h", "cls", "n"])
+        h, cls = h[order], cls[order]
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        m = np.diff(np.concatenate([start, [len(h)]]))
+        m = np.repeat(m, m)
+        keep = m > 1
+        return pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(cls[keep]), pa.array(m[keep])], names=["h", "cls", "m"])
 
     at, rows = None, []
     for b in batches:
-        for bucket, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "h", "cls", "n")), strict=True):
+        for bucket, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "h", "cls")), strict=True):
             if bucket != at and rows:
                 yield found(rows)
                 rows = []
@@ -230,6 +243,84 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(rows)
 
 
+class Sets:
+    """Disjoint sets of whole numbers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def compatible(key: np.ndarray, n: np.ndarray, counts: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Edges that join, below each key, the members that pairs within the bounds join. key is sorted; counts: as bins gives them."""
+    low = np.stack([folded(c, BINS[0][1]) for c in counts]).astype(np.int16) if counts else np.empty((0, 1), np.int16)
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    size = np.diff(np.concatenate([start, [len(key)]]))
+    whose = np.repeat(np.arange(len(start)), size)
+    left, sets, out = size - 1, Sets(len(key)), []  # joins that each list still lacks
+    step, longest = 1, int(size.max(initial=0))
+    while step < longest:
+        i = np.flatnonzero((whose[:-step] == whose[step:]) & (left[whose[:-step]] > 0))
+        if not len(i):
+            break
+        i = i[np.minimum(n[i], n[i + step]) * 100 >= np.maximum(n[i], n[i + step]) * percent]
+        total = n[i] + n[i + step]
+        apart = total - 2 * -(-percent * total // (100 + percent))  # the most n-grams that only one may have
+        near = np.zeros(len(i), bool)
+        for x in range(0, len(i), 1 << 16):
+            part = i[x : x + (1 << 16)]
+            near[x : x + (1 << 16)] = np.abs(low[part] - low[part + step]).sum(axis=1, dtype=np.int32) <= apart[x : x + (1 << 16)]
+        for a, most in zip(i[near].tolist(), apart[near].tolist(), strict=True):
+            b = a + step
+            wide = min(len(counts[a]), len(counts[b]))
+            if wide > BINS[0][1] and int(np.abs(folded(counts[a], wide) - folded(counts[b], wide)).sum()) > most:
+                continue
+            if sets.join(a, b):
+                out.append((a, b))
+                left[whose[a]] -= 1
+        step += 1
+    return out
+
+
+def _edges(percent: int):
+    """Edges of classes below the same n-gram, from rows sorted by list."""
+
+    def found(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        _, key = np.unique(t.column("list").to_numpy(), return_inverse=True)
+        counts = [np.frombuffer(x, np.uint8) for x in t.column("_bins").to_pylist()]
+        cls, n = t.column("cls").to_numpy(), t.column("_n").to_numpy()
+        order = np.lexsort((n, key))
+        pairs = compatible(key[order], n[order], [counts[k] for k in order.tolist()], percent)
+        ends = [[int(cls[order[p[k]]]) for p in pairs] for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            lists = b.column("list").to_numpy()
+            last = int(np.searchsorted(lists, lists[-1])) if b.num_rows else 0  # where the last list begins; it may go on
+            if last and sum(x.num_rows for x in held) + last >= 20_000:
+                yield found([*held, b.slice(0, last)])
+                held = [b.slice(last)]
+            else:
+                held.append(b)
+        if held and sum(x.num_rows for x in held):
+            yield found(held)
+
+    return run
+
+
 def product(sets: list[np.ndarray]) -> np.ndarray:
     """Overlap counts of all pairs of a block: the incidence matrix by its transpose, some columns at a time."""
     m = len(sets)
@@ -293,22 +384,6 @@ def _blocks(words: int, percent: int):
     return run
 
 
-def _verify(words: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
-        for b in batches:
-            out = []
-            for a, c, s, t in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("_s"), b.column("_t"), strict=True):
-                if a != last:
-                    last, own = a, ngram_sets([s.as_py()], words)[0]
-                other = ngram_sets([t.as_py()], words)[0]
-                if len(np.intersect1d(own, other, assume_unique=True)) >= least_overlap(len(own), len(other), percent):
-                    out.append((a, c))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return run
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) from edges a, b, by large-star and small-star rounds."""
     e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -326,6 +401,29 @@ def components(edges: DataFrame) -> DataFrame:
         e = settle(rest.union(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct())
 
 
+def _pairs_of_parts(df: DataFrame, part: str, parts: str) -> DataFrame:
+    """Each row once for each pair of parts, x <= y, that its own part is in; df has one row and x = y = 0 where there is one part."""
+    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col(parts).cast("int") - 1, F.lit(0))))
+    both = df.withColumn("_o", other)
+    return both.withColumn("x", F.least(part, "_o")).withColumn("y", F.greatest(part, "_o")).drop("_o")
+
+
+def _listed(shared: DataFrame, reps: DataFrame) -> DataFrame:
+    """list, cls, _n, _bins: the classes below each n-gram; a list of more than LIST is cut, and its parts are listed two by two."""
+    cut = shared.withColumn("_parts", F.ceil(F.col("m") / F.lit(LIST))).withColumn("_part", F.pmod(F.xxhash64("cls"), F.col("_parts")).cast("int"))
+    named = _pairs_of_parts(cut, "_part", "_parts").select(F.when(F.col("_parts") == 1, F.col("h")).otherwise(F.xxhash64("h", "x", "y")).alias("list"), "cls")
+    return named.join(reps.select("_row", "_n", "_bins"), F.col("cls") == F.col("_row")).select("list", "cls", "_n", "_bins")
+
+
+def _placed(joined: DataFrame, block: int) -> DataFrame:
+    """block, cls: a component in one block, or in one for each two of its parts."""
+    sizes = joined.groupBy("label").agg(F.count("*").alias("_m")).select(F.col("label").alias("_l"), F.ceil(F.col("_m") / F.lit(block / 2)).alias("_half"), "_m")
+    cut = joined.join(sizes, F.col("label") == F.col("_l")).withColumn("_parts", F.when(F.col("_m") <= block, 1).otherwise(F.col("_half")))
+    cut = cut.withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
+    both = _pairs_of_parts(cut, "_part", "_parts").where("_parts = 1 or x <> y")
+    return both.select(F.when(F.col("_parts") == 1, F.col("label")).otherwise(F.xxhash64("label", "x", "y")).alias("block"), F.col("node").alias("cls"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """A row for each row of docs: its id, n_shingles, component_id, class_id, stays, row (its monotonically_increasing_id in docs).
 
@@ -340,37 +438,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
     often = rows.select("_text").mapInArrow(_count_frequent(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(often.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
-    sets = settle(rows.mapInArrow(_sets(words, percent, frequent), f"_id {kind}, _row long, _n long, _key binary, _prefix array<long>"))
+    sets = settle(rows.mapInArrow(_sets(words, percent, frequent), f"_id {kind}, _row long, _n long, _key binary, _prefix array<long>, _bins binary"))
     first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row")))
     classes = settle(sets.where("_n > 0").groupBy("_key").agg(first.alias("f")).select("_key", F.col("f._id").alias("_least"), F.col("f._row").alias("_cls")))
-    reps = sets.join(classes.select(F.col("_cls").alias("_c")), F.col("_row") == F.col("_c"), "left_semi").select("_row", "_n", "_prefix")
+    reps = sets.join(classes.select(F.col("_cls").alias("_c")), F.col("_row") == F.col("_c"), "left_semi")
     buckets = max(2 * spark.sparkContext.defaultParallelism, classes.count() // PER_BUCKET)
-    dealt = reps.mapInArrow(_dealt(buckets), "bucket int, h binary, cls binary, n binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    shared = settle(dealt.mapInArrow(_shared, "h long, cls long, n int"))
+    dealt = reps.select("_row", "_prefix").mapInArrow(_dealt(buckets), "bucket int, h binary, cls binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    shared = settle(dealt.mapInArrow(_shared, "h long, cls long, m long"))
 
-    keys = shared.groupBy("cls").agg(F.array_distinct(F.array(F.min("h"), F.max("h"))).alias("k")).select("cls", F.explode("k").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").select(F.col("key").alias("_k"), "_m")
-    part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("_m") / F.lit(block)))
-    placed = keys.join(sizes, F.col("key") == F.col("_k")).select("cls", F.xxhash64("key", part).alias("block"))
-    texts = rows.select(F.col("_row").alias("_r"), "_text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = placed.join(texts, F.col("cls") == F.col("_r")).select("block", "cls", "_text").repartition(parts, "block").sortWithinPartitions("block")
+    joined = settle(components(settle(_listed(shared, reps).repartition(parts, "list").sortWithinPartitions("list").mapInArrow(_edges(percent), "a long, b long"))))
+    placed = settle(_placed(joined, block))
+    texts = rows.select(F.col("_row").alias("_r"), "_text")
+    blocks = texts.join(small(placed), F.col("cls") == F.col("_r")).select("block", "cls", "_text").repartition(parts, "block").sortWithinPartitions("block")
     links = settle(blocks.mapInArrow(_blocks(words, percent), "a long, b long"))
 
-    joined = components(links).select(F.col("node").alias("_node"), "label")
-    named = settle(shared.join(joined, F.col("cls") == F.col("_node"), "left").select("h", "cls", "n", F.coalesce("label", "cls").alias("comp")))
-    mixed = named.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select(F.col("h").alias("_h"))
-    open_ = named.join(mixed, F.col("h") == F.col("_h"), "left_semi")
-    one, two = (open_.select("h", *[F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "comp")]) for k in (1, 2))
-    fits = (F.col("cls1") < F.col("cls2")) & (F.col("comp1") != F.col("comp2")) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
-    least = F.ceil((F.col("n1") + F.col("n2")) * percent / F.lit(100 + percent))
-    pairs = one.join(two, "h").where(fits).groupBy("cls1", "n1", "cls2", "n2").agg(F.count("*").alias("c")).where(F.col("c") >= F.least(F.lit(SHARED), least))
-    pairs = settle(pairs.select(F.col("cls1").alias("a"), F.col("cls2").alias("b")))
-    with_a = pairs.join(texts.select(F.col("_r").alias("a"), F.col("_text").alias("_s")), "a")
-    both = with_a.join(texts.select(F.col("_r").alias("b"), F.col("_text").alias("_t")), "b")
-    more = settle(both.select("a", "b", "_s", "_t").mapInArrow(_verify(words, percent), "a long, b long"))
-
-    final = components(links.union(more)).select(F.col("node").alias("_node"), "label")
+    final = components(links).select(F.col("node").alias("_node"), "label")
     labelled = classes.join(final, F.col("_cls") == F.col("_node"), "left").select("_key", "_least", "_cls", F.coalesce("label", "_cls").alias("_label"))
     best = labelled.groupBy("_label").agg(F.min(F.struct(F.col("_least").isNull(), F.col("_least"), F.col("_cls"))).alias("f")).select(F.col("_label").alias("_l"), F.col("f._least").alias("component_id"), F.col("f._cls").alias("_stay"))
     ends = labelled.join(best, F.col("_label") == F.col("_l")).select(F.col("_key").alias("_k"), F.col("_least").alias("class_id"), "component_id", "_stay")

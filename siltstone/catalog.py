@@ -25,7 +25,9 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from siltstone.operators import codec, evaluate, lexical, records, segments, vectors  # noqa: F401
+    from siltstone.operators import codec, evaluate, lexical, parse, records, segments, vectors, wand  # noqa: F401
+    from siltstone.plans import naive  # noqa: F401
+    from siltstone.streaming import ingest  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

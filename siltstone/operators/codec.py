@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -84,7 +83,7 @@ def index_files(docs: DataFrame, blocks: int) -> DataFrame:
     """segment_id, index: an index file for each of `blocks` slices of the documents by id."""
     words = worded(docs).withColumn("segment_id", F.pmod("doc_id", F.lit(blocks)))
 
-    def build(key, frame: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         postings: dict[str, list[int]] = {}
         lengths = {}
         for doc, own in sorted(zip(frame["doc_id"], frame["words"], strict=True), key=lambda x: x[0]):

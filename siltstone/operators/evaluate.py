@@ -30,8 +30,8 @@ def chunk_sentences(spark, sf_dir):
 def straddling(docs: DataFrame) -> DataFrame:
     """Chunks that begin within a word, and the word."""
     cuts = T.chunk_fixed(docs).where("start > 0").select("doc_id", "start", F.substring(F.col("text"), F.lit(1), F.col("start")).alias("l"), F.substring(F.col("text"), F.col("start") + 1, F.length("text")).alias("r"))
-    word = F.concat(F.regexp_extract("l", r"(?U)(\S+)$", 1), F.regexp_extract("r", r"(?U)^(\S+)", 1))
-    return cuts.where(F.regexp_like("l", F.lit(r"(?U)\S$")) & F.regexp_like("r", F.lit(r"(?U)^\S"))).select("doc_id", F.col("start").cast("long").alias("start"), word.alias("word"))
+    word = F.concat(F.regexp_extract("l", r"(?U)(\S+)\z", 1), F.regexp_extract("r", r"(?U)^(\S+)", 1))
+    return cuts.where(F.regexp_like("l", F.lit(r"(?U)\S\z")) & F.regexp_like("r", F.lit(r"(?U)^\S"))).select("doc_id", F.col("start").cast("long").alias("start"), word.alias("word"))
 
 
 @query("straddling", r"""SELECT doc_id, s AS start, regexp_extract(l, '(\S+)$', 1) || regexp_extract(r, '^(\S+)', 1) AS word FROM (SELECT doc_id, s, substr(text, 1, s) AS l, substr(text, s + 1) AS r FROM (SELECT doc_id, text, unnest(range(400, length(text), 400)) AS s FROM documents) WHERE trim(substr(text, s + 1, 500), ' ' || chr(9) || chr(10) || chr(13)) <> '') WHERE regexp_matches(l, '\S$') AND regexp_matches(r, '^\S')""")
@@ -87,13 +87,10 @@ def _sides(spark, sf_dir) -> DataFrame:
     return rows.select("conv_id", *[F.array_join(F.transform(n, lambda s: s["text"]), " ").alias(n) for n in ("a", "b")])
 
 
-_HEADS = "h AS (SELECT conv_id, turn, substr(text, 1, 60) AS a, substr(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 60) AS b FROM conversations)"
-
-
-@query("levenshtein", "SELECT page_id, levenshtein(a, b)::BIGINT AS distance FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS a, coalesce(regexp_extract(html, '<title>([^<]*)', 1), '') AS b FROM pages)")
+@query("levenshtein", "SELECT page_id, levenshtein(a, b)::BIGINT AS distance FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS a, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS b FROM pages)")
 def levenshtein(spark, sf_dir):
-    """Edit distance of a page's host and its title."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("a"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("b"))
+    """Edit distance of a page's host and path."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("a"), F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1).alias("b"))
     return pages.select("page_id", F.levenshtein("a", "b").cast("long").alias("distance"))
 
 

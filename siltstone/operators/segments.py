@@ -31,7 +31,7 @@ def gaps(ids: Column) -> Column:
 def from_gaps(steps: Column) -> Column:
     """Running sums: the inverse of gaps."""
     zero = F.array().cast("array<bigint>")
-    return F.aggregate(steps, zero, lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), F.lit(0).cast("bigint")) + x)))
+    return F.aggregate(steps, zero, lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint")) + x)))
 
 
 def code_length(value: Column) -> Column:

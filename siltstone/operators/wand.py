@@ -34,7 +34,7 @@ def pruned_topk(lists: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[lis
     scored = 0
     for i, (ids, _) in enumerate(lists):
         floor = best[k - 1][0] if len(best) >= k else -1.0
-        if sum(bounds[i:]) < floor - 1e-9:
+        if sum(bounds[i:]) < floor - 1e-6:
             break
         new = ids[~np.isin(ids, np.fromiter(seen, np.int64, len(seen)))] if seen else ids
         total, rest = np.zeros(len(new)), sum(bounds)
@@ -43,7 +43,7 @@ def pruned_topk(lists: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[lis
             rest -= float(part.max())
             at = np.minimum(np.searchsorted(own, new), len(own) - 1)
             total += np.where(alive & (own[at] == new), part[at], 0.0)
-            alive &= total + rest >= floor - 1e-9
+            alive &= total + rest >= floor - 1e-6
         scored += int(alive.sum())
         seen.update(new.tolist())
         best = [(-s, d) for s, d in sorted([*[(-s, d) for s, d in best], *zip((-np.round(total[alive], 6)).tolist(), new[alive].tolist(), strict=True)])[:k]]

@@ -108,7 +108,7 @@ def _cuts(h: np.ndarray, buckets: int) -> tuple[np.ndarray, Iterator[tuple[int,
     to = _bucket(h, buckets)
     order = np.argsort(to, kind="stable")
     names, start = np.unique(to[order], return_index=True)
-    return order, zip(names.tolist(), start.tolist(), [*start[1:].tolist(), len(h)], strict=True)
+    return order, zip(names.tolist(), start.tolist(), [*start[1:].tolist(), len(h)][: len(start)], strict=True)
 
 
 def _leaders(length: int, buckets: int):
@@ -287,7 +287,7 @@ def _marked(length: int):
         out["doc"], out["pos"], out["count"] = c["doc"][i], pos, count
         order = np.argsort(whose[i], kind="stable")
         names, start = np.unique(whose[i][order], return_index=True)
-        for batch, x, y in zip(names.tolist(), start, [*start[1:], len(i)], strict=True):
+        for batch, x, y in zip(names.tolist(), start, [*start[1:], len(i)][: len(start)], strict=True):
             yield {"batch": batch, "marks": out[order[x:y]].tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

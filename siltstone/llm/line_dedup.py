@@ -9,7 +9,7 @@ their tokens.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import need
@@ -22,11 +22,18 @@ DEPTH, TEXTS, FIXED = 3, 5, 0.6
 TOKENS = 4
 
 
+def tokens_of(line: str) -> Column:
+    """Tokens of a masked line, split at blanks."""
+    return F.filter(F.split(F.col(line), " "), lambda t: t != "")
+
+
 def lines_of(docs: DataFrame, id_col: str, text: str, depth: int) -> DataFrame:
-    """_id, _doc (hash of the text), _at (number of the line, from 0), _tokens (masked), _leaf."""
-    split = docs.select(F.col(id_col).alias("_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_at", "_line"))
-    tokens = F.filter(F.split(F.regexp_replace("_line", r"[^\s]*[0-9][^\s]*", WILD), r"\s+"), lambda t: t != "")
-    return split.select("_id", "_doc", "_at", tokens.alias("_tokens")).where(F.size("_tokens") >= TOKENS).withColumn("_leaf", F.xxhash64(F.size("_tokens"), F.slice("_tokens", 1, depth)))
+    """_id, _doc (hash of the text), _at (number of the line, from 0), _line (masked), _leaf. Most lines have no digit and no other white space than blanks, and skip the patterns."""
+    split = docs.select(F.col(id_col).alias("_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_at", "_raw"))
+    blanks = F.when(F.regexp_like("_raw", F.lit(r"[\t\r\f\x0B]")), F.regexp_replace("_raw", r"\s", " ")).otherwise(F.col("_raw"))
+    masked = split.select("_id", "_doc", "_at", F.when(F.regexp_like("_raw", F.lit("[0-9]")), F.regexp_replace(blanks, "[^ 0-9]*[0-9][^ ]*", WILD)).otherwise(blanks).alias("_line"))
+    words = masked.withColumn("_words", tokens_of("_line")).where(F.size("_words") >= TOKENS)
+    return words.select("_id", "_doc", "_at", "_line", F.xxhash64(F.size("_words"), F.slice("_words", 1, depth)).alias("_leaf"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str, text: str, depth: int, texts: int, fixed: float) -> DataFrame:
@@ -34,11 +41,11 @@ def recurring_lines(docs: DataFrame, id_col: str, text: str, depth: int, texts:
     lines = lines_of(docs, id_col, text, depth)
     leaves = lines.select("_leaf", "_doc").distinct().groupBy("_leaf").count().where(F.col("count") >= texts).select(F.col("_leaf").alias("_l"))
     inside = settle(lines.join(leaves, F.col("_leaf") == F.col("_l"), "left_semi"))
-    forms = settle(inside.select("_leaf", "_tokens", "_doc").distinct().groupBy("_leaf", "_tokens").agg(F.count("*").alias("_n")))  # different lines, with their texts
-    places = forms.select("_leaf", "_n", F.posexplode("_tokens").alias("_p", "_t")).groupBy("_leaf", "_p", "_t").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= texts)
+    forms = settle(inside.select("_leaf", "_line", "_doc").distinct().groupBy("_leaf", "_line").agg(F.count("*").alias("_n")))  # different lines, with their texts
+    form = F.xxhash64("_leaf", "_line")
+    rows = forms.select("_leaf", "_n", form.alias("_form"), tokens_of("_line").alias("_words")).select("_leaf", "_n", "_form", F.size("_words").alias("_size"), F.posexplode("_words").alias("_p", "_t"))
+    places = rows.groupBy("_leaf", "_p", "_t").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= texts)
     kept = places.select(F.col("_leaf").alias("_kl"), F.col("_p").alias("_kp"), F.col("_t").alias("_kt"))
-    form = F.xxhash64("_leaf", "_tokens")
-    rows = forms.select("_leaf", form.alias("_form"), F.size("_tokens").alias("_size"), F.posexplode("_tokens").alias("_p", "_t"))
     marked = rows.join(kept, (F.col("_leaf") == F.col("_kl")) & (F.col("_p") == F.col("_kp")) & (F.col("_t") == F.col("_kt")) & (F.col("_t") != WILD))
     template = F.array_sort(F.collect_list(F.struct("_p", "_t")))
     templates = marked.groupBy("_leaf", "_form", "_size").agg(template.alias("_parts")).where(F.size("_parts") >= F.col("_size") * fixed)

@@ -3,8 +3,8 @@
 Every line is parsed to a fixed depth: number of tokens, then its leading tokens, with fields that hold a digit masked.
 That path is a leaf. Within the leaves that several texts reach, tokens that recur at their place stay and all others
 become the wildcard; what is left is the line's template. Lines whose template recurs across enough different texts,
-with enough fixed tokens, are dropped. Lines are first counted by hashes alone; only lines of recurring leaves move with
-their tokens.
+with enough fixed tokens, are dropped. Lines are first counted by hashes alone; only lines of recurring leaves move. The
+small sides (recurring leaves, templates) are counted and broadcast up to a bound, beyond which the joins shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import need
-from siltstone.session import settle, table
+from siltstone.session import settle, small, table
 
 WILD = "<*>"
 #: Leading tokens of the tree's path; different texts that make a template recur; share of fixed tokens of a template.
@@ -28,19 +28,23 @@ def tokens_of(line: str) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text: str, depth: int) -> DataFrame:
-    """_id, _doc (hash of the text), _at (number of the line, from 0), _line (masked), _leaf. Most lines have no digit and no other white space than blanks, and skip the patterns."""
-    split = docs.select(F.col(id_col).alias("_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_at", "_raw"))
-    blanks = F.when(F.regexp_like("_raw", F.lit(r"[\t\r\f\x0B]")), F.regexp_replace("_raw", r"\s", " ")).otherwise(F.col("_raw"))
-    masked = split.select("_id", "_doc", "_at", F.when(F.regexp_like("_raw", F.lit("[0-9]")), F.regexp_replace(blanks, "[^ 0-9]*[0-9][^ ]*", WILD)).otherwise(blanks).alias("_line"))
-    words = masked.withColumn("_words", tokens_of("_line")).where(F.size("_words") >= TOKENS)
-    return words.select("_id", "_doc", "_at", "_line", F.xxhash64(F.size("_words"), F.slice("_words", 1, depth)).alias("_leaf"))
+    """_id, _doc (hash of the text), _at (number of the line, from 0), _line (masked, blanks single), _leaf. Lines with neither a digit nor white space to replace skip the patterns, and no line is cut into all its tokens."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    split = docs.select(F.col(id_col).alias("_id"), F.xxhash64(whole).alias("_doc"), F.posexplode(F.split(whole, "\n", -1)).alias("_at", "_raw"))
+    # the look-behind starts matches at tokens only, so that a very long token is read once
+    masked = F.regexp_replace(F.regexp_replace(F.regexp_replace("_raw", r"\s", " "), "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILD), " +", " ")
+    plain = ~F.regexp_like("_raw", F.lit(r"[0-9\t\r\f\x0B]")) & ~F.contains(F.col("_raw"), F.lit("  "))
+    lines = split.select("_id", "_doc", "_at", F.trim(F.when(plain, F.col("_raw")).otherwise(masked)).alias("_line"))
+    size = F.length("_line") - F.length(F.replace(F.col("_line"), F.lit(" "), F.lit(""))) + 1
+    sized = lines.withColumn("_size", size).where(F.col("_size") >= TOKENS)
+    return sized.select("_id", "_doc", "_at", "_line", F.xxhash64("_size", F.substring_index("_line", " ", depth)).alias("_leaf"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str, text: str, depth: int, texts: int, fixed: float) -> DataFrame:
     """_id, _doc, _lines: the numbers of the lines whose template recurs."""
     lines = lines_of(docs, id_col, text, depth)
-    leaves = lines.select("_leaf", "_doc").distinct().groupBy("_leaf").count().where(F.col("count") >= texts).select(F.col("_leaf").alias("_l"))
-    inside = settle(lines.join(leaves, F.col("_leaf") == F.col("_l"), "left_semi"))
+    leaves = settle(lines.select("_leaf", "_doc").distinct().groupBy("_leaf").count().where(F.col("count") >= texts).select(F.col("_leaf").alias("_l")))
+    inside = settle(lines.join(small(leaves), F.col("_leaf") == F.col("_l"), "left_semi"))
     forms = settle(inside.select("_leaf", "_line", "_doc").distinct().groupBy("_leaf", "_line").agg(F.count("*").alias("_n")))  # different lines, with their texts
     form = F.xxhash64("_leaf", "_line")
     rows = forms.select("_leaf", "_n", form.alias("_form"), tokens_of("_line").alias("_words")).select("_leaf", "_n", "_form", F.size("_words").alias("_size"), F.posexplode("_words").alias("_p", "_t"))
@@ -49,10 +53,10 @@ def recurring_lines(docs: DataFrame, id_col: str, text: str, depth: int, texts:
     marked = rows.join(kept, (F.col("_leaf") == F.col("_kl")) & (F.col("_p") == F.col("_kp")) & (F.col("_t") == F.col("_kt")) & (F.col("_t") != WILD))
     template = F.array_sort(F.collect_list(F.struct("_p", "_t")))
     templates = marked.groupBy("_leaf", "_form", "_size").agg(template.alias("_parts")).where(F.size("_parts") >= F.col("_size") * fixed)
-    templates = templates.select(F.col("_form").alias("_f"), F.xxhash64("_leaf", "_parts").alias("_template"))
-    seen = settle(inside.select("_id", "_doc", "_at", form.alias("_form")).join(templates, F.col("_form") == F.col("_f")).select("_id", "_doc", "_at", "_template"))
-    often = seen.select("_template", "_doc").distinct().groupBy("_template").count().where(F.col("count") >= texts).select(F.col("_template").alias("_often"))
-    drop = seen.join(often, F.col("_template") == F.col("_often"), "left_semi")
+    templates = settle(templates.select(F.col("_form").alias("_f"), F.xxhash64("_leaf", "_parts").alias("_template")))
+    seen = settle(inside.select("_id", "_doc", "_at", form.alias("_form")).join(small(templates), F.col("_form") == F.col("_f")).select("_id", "_doc", "_at", "_template"))
+    often = settle(seen.select("_template", "_doc").distinct().groupBy("_template").count().where(F.col("count") >= texts).select(F.col("_template").alias("_often")))
+    drop = seen.join(small(often), F.col("_template") == F.col("_often"), "left_semi")
     return drop.groupBy("_id", "_doc").agg(F.collect_set("_at").alias("_lines"))
 
 
@@ -65,7 +69,7 @@ def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     """
     need(docs, id_col, text)
     found = settle(recurring_lines(docs, id_col, text, depth, texts, fixed)).select(F.col("_id").alias("_i"), F.col("_doc").alias("_d"), "_lines")
-    own = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_doc", F.md5("_text"))
+    own = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_doc", F.xxhash64("_text"))
     out = own.join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_doc") == F.col("_d")), "left")
     lines = F.split("_text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_lines", i)), "\n")

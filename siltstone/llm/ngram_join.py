@@ -7,7 +7,8 @@ become rows. Pairs of classes below such an n-gram are discarded where their siz
 bin, bound the overlap below what is needed; of the pairs left no list gives more than the edges that hold its members
 together. The components of these edges hold every link. Each is put in blocks of a bounded size, in which the whole
 incidence is multiplied, accumulating overlap counts, and again a block gives no more links than hold it together: a
-group of m near copies gives about m links, not m * m.
+group of m near copies gives about m links, not m * m. Texts of a component of many blocks meet across blocks only
+where links within blocks, and between one text of each linked part, leave it in several parts.
 """
 
 from __future__ import annotations
@@ -415,13 +416,54 @@ def _listed(shared: DataFrame, reps: DataFrame) -> DataFrame:
     return named.join(reps.select("_row", "_n", "_bins"), F.col("cls") == F.col("_row")).select("list", "cls", "_n", "_bins")
 
 
-def _placed(joined: DataFrame, block: int) -> DataFrame:
-    """block, cls: a component in one block, or in one for each two of its parts."""
-    sizes = joined.groupBy("label").agg(F.count("*").alias("_m")).select(F.col("label").alias("_l"), F.ceil(F.col("_m") / F.lit(block / 2)).alias("_half"), "_m")
-    cut = joined.join(sizes, F.col("label") == F.col("_l")).withColumn("_parts", F.when(F.col("_m") <= block, 1).otherwise(F.col("_half")))
-    cut = cut.withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
-    both = _pairs_of_parts(cut, "_part", "_parts").where("_parts = 1 or x <> y")
-    return both.select(F.when(F.col("_parts") == 1, F.col("label")).otherwise(F.xxhash64("label", "x", "y")).alias("block"), F.col("node").alias("cls"))
+def _split(members: DataFrame, block: int) -> DataFrame:
+    """block, cls: each member of a label in one block of about half the size given, or all of them in one if they fit."""
+    sizes = members.groupBy("label").agg(F.count("*").alias("_m")).select(F.col("label").alias("_l"), "_m")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("_m") / F.lit(block / 2)))
+    return members.join(sizes, F.col("label") == F.col("_l")).select(F.when(F.col("_m") <= block, F.col("label")).otherwise(F.xxhash64("label", part)).alias("block"), F.col("node").alias("cls"))
+
+
+def _across(members: DataFrame, block: int) -> DataFrame:
+    """block, cls: all pairs of members (label, node, own) whose own differs. The largest own of a label meets the others part by part, but not itself."""
+    owns = members.groupBy("label", "own").agg(F.count("*").alias("_m"))
+    most = owns.groupBy("label").agg(F.max(F.struct("_m", "own")).alias("f"), F.sum("_m").alias("_all"))
+    most = most.select(F.col("label").alias("_l"), F.col("f.own").alias("_most"), F.ceil(F.col("f._m") / F.lit(block / 2)).cast("int").alias("_pl"), F.greatest(F.ceil((F.col("_all") - F.col("f._m")) / F.lit(block / 2)), F.lit(1)).cast("int").alias("_ps"))
+    cut = members.join(most, F.col("label") == F.col("_l")).withColumn("_stray", F.col("own") != F.col("_most"))
+    cut = cut.withColumn("_part", F.pmod(F.xxhash64("node"), F.when(F.col("_stray"), F.col("_ps")).otherwise(F.col("_pl"))).cast("int"))
+    part, strays = F.col("_part"), F.sequence(F.lit(0), F.col("_ps") - 1)
+    met = F.transform(F.sequence(F.lit(0), F.col("_pl") - 1), lambda i: F.struct(F.lit(0).alias("k"), i.alias("x"), part.alias("y")))
+    each = F.transform(F.filter(strays, lambda j: j != part), lambda j: F.struct(F.lit(1).alias("k"), F.least(j, part).alias("x"), F.greatest(j, part).alias("y")))
+    own = F.transform(strays, lambda j: F.struct(F.lit(0).alias("k"), part.alias("x"), j.alias("y")))
+    pairs = cut.select("label", "node", F.explode(F.when(F.col("_stray"), F.concat(met, each)).otherwise(own)).alias("p"))
+    return pairs.select(F.xxhash64("label", "p.k", "p.x", "p.y").alias("block"), F.col("node").alias("cls"))
+
+
+def links_within(texts: DataFrame, joined: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """a, b: links that hold together what all links between texts (_r, _text) of one label (joined: node, label) do.
+
+    Labels of at most `block` members are one block. Larger ones are first dealt to blocks once, and then one member of
+    each part that links hold together; only where a label is still in several parts do these meet in all pairs.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def links(placed: DataFrame) -> DataFrame:
+        blocks = texts.join(small(settle(placed)), F.col("cls") == F.col("_r")).select("block", "cls", "_text").repartition(parts, "block").sortWithinPartitions("block")
+        return settle(blocks.mapInArrow(_blocks(words, percent), "a long, b long"))
+
+    def parted(found: DataFrame) -> DataFrame:
+        held = components(found.join(large.select(F.col("node").alias("_n")), F.col("a") == F.col("_n"), "left_semi")).select(F.col("node").alias("_n"), F.col("label").alias("_own"))
+        return settle(large.join(held, F.col("node") == F.col("_n"), "left").select("label", "node", F.coalesce("_own", "node").alias("own")))
+
+    found = links(_split(joined, block))
+    sizes = joined.groupBy("label").agg(F.count("*").alias("_m")).where(F.col("_m") > block).select(F.col("label").alias("_l"))
+    large = settle(joined.join(sizes, F.col("label") == F.col("_l"), "left_semi"))
+    if large.isEmpty():
+        return found
+    found = found.union(links(_split(parted(found).select("label", F.col("own").alias("node")).distinct(), block)))
+    members = parted(found)
+    several = members.groupBy("label").agg(F.min("own").alias("_x"), F.max("own").alias("_y")).where("_x <> _y").select(F.col("label").alias("_l"))
+    members = settle(members.join(several, F.col("label") == F.col("_l"), "left_semi"))
+    return found if members.isEmpty() else found.union(links(_across(members, block)))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -448,10 +490,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     joined = settle(components(settle(_listed(shared, reps).repartition(parts, "list").sortWithinPartitions("list").mapInArrow(_edges(percent), "a long, b long"))))
-    placed = settle(_placed(joined, block))
-    texts = rows.select(F.col("_row").alias("_r"), "_text")
-    blocks = texts.join(small(placed), F.col("cls") == F.col("_r")).select("block", "cls", "_text").repartition(parts, "block").sortWithinPartitions("block")
-    links = settle(blocks.mapInArrow(_blocks(words, percent), "a long, b long"))
+    links = links_within(rows.select(F.col("_row").alias("_r"), "_text"), joined, words, percent, block)
 
     final = components(links).select(F.col("node").alias("_node"), "label")
     labelled = classes.join(final, F.col("_cls") == F.col("_node"), "left").select("_key", "_least", "_cls", F.coalesce("label", "_cls").alias("_label"))

@@ -29,8 +29,9 @@ WORDS, PERCENT = 5, 80
 #: Classes in a block of the product, n-grams multiplied at once, classes per partition of the shared n-grams' search,
 #: and members of a list that are compared at once.
 BLOCK, COLUMNS, PER_BUCKET, LIST = 256, 4096, 20_000, 4096
-#: Bins of the counts that bound an overlap, by set size; larger numbers fold to smaller ones.
-BINS = ((1024, 32), (4096, 64), (1 << 62, 256))
+#: Bins of the counts that bound an overlap, by set size; larger numbers fold to smaller ones. Sets of n unrelated
+#: n-grams differ by about 1.13 * sqrt(bins * n), links of 80 percent by at most 0.22 * n, so bins must grow with n.
+BINS = ((256, 32), (1024, 128), (4096, 512), (16384, 2048), (1 << 62, 8192))
 #: The frequent n-grams that are ordered last: a fixed bound on what is broadcast (8 bytes each). Any order gives the same result.
 FREQUENT = 500_000
 _RNG = np.random.default_rng(20240611)
@@ -220,7 +221,7 @@ def _dealt(buckets: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-grams that two classes have, with the number that have it, from rows of _dealt that are sorted by bucket."""
+    """The classes below each n-gram that two have, with their number, from rows of _dealt that are sorted by bucket. h is a hash of these classes: n-grams of the same classes give one list."""
 
     def found(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         h, cls = (np.frombuffer(b"".join(r[k] for r in rows), np.int64) for k in (0, 1))
@@ -228,8 +229,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, cls = h[order], cls[order]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         m = np.diff(np.concatenate([start, [len(h)]]))
-        m = np.repeat(m, m)
-        keep = m > 1
+        same = _mix(np.add.reduceat(_mix(cls.view(np.uint64) + np.uint64(_BASE)), start) + m.astype(np.uint64))
+        once = np.zeros(len(start), bool)
+        once[np.unique(same, return_index=True)[1]] = True
+        keep = np.repeat(once & (m > 1), m)
+        h, m = np.repeat(same.view(np.int64), m), np.repeat(m, m)
         return pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(cls[keep]), pa.array(m[keep])], names=["h", "cls", "m"])
 
     at, rows = None, []
@@ -486,7 +490,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     reps = sets.join(classes.select(F.col("_cls").alias("_c")), F.col("_row") == F.col("_c"), "left_semi")
     buckets = max(2 * spark.sparkContext.defaultParallelism, classes.count() // PER_BUCKET)
     dealt = reps.select("_row", "_prefix").mapInArrow(_dealt(buckets), "bucket int, h binary, cls binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    shared = settle(dealt.mapInArrow(_shared, "h long, cls long, m long"))
+    shared = settle(dealt.mapInArrow(_shared, "h long, cls long, m long").distinct())
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     joined = settle(components(settle(_listed(shared, reps).repartition(parts, "list").sortWithinPartitions("list").mapInArrow(_edges(percent), "a long, b long"))))

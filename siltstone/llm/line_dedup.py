@@ -3,8 +3,8 @@
 Every line is parsed to a fixed depth: number of tokens, then its leading tokens, with fields that hold a digit masked.
 That path is a leaf. Within the leaves that several texts reach, tokens that recur at their place stay and all others
 become the wildcard; what is left is the line's template. Lines whose template recurs across enough different texts,
-with enough fixed tokens, are dropped. Lines are first counted by hashes alone; only lines of recurring leaves move. The
-small sides (recurring leaves, templates) are counted and broadcast up to a bound, beyond which the joins shuffle.
+with enough fixed tokens, are dropped, and so are lines that two different texts have as they stand. Lines are first counted by hashes alone; only lines of recurring leaves move. The
+small sides (recurring lines, leaves, templates) are counted and broadcast up to a bound, beyond which the joins shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from siltstone.session import settle, small, table
 WILD = "<*>"
 #: Leading tokens of the tree's path; different texts that make a template recur; share of fixed tokens of a template.
 DEPTH, TEXTS, FIXED = 3, 5, 0.6
+#: Different texts that make a line recur as it stands, all tokens fixed.
+VERBATIM = 2
 #: Shorter lines are left alone: they say too little to be templates.
 TOKENS = 4
 
@@ -28,22 +30,26 @@ def tokens_of(line: str) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text: str, depth: int) -> DataFrame:
-    """_id, _doc (hash of the text), _at (number of the line, from 0), _line (masked, blanks single), _leaf. Lines with neither a digit nor white space to replace skip the patterns, and no line is cut into all its tokens."""
+    """_id, _doc (hash of the text), _at (number of the line, from 0), _line (masked, blanks single), _same (hash of the line as it stands, blanks single), _leaf. Lines with neither a digit nor white space to replace skip the patterns, and no line is cut into all its tokens."""
     whole = F.coalesce(F.col(text), F.lit(""))
     split = docs.select(F.col(id_col).alias("_id"), F.xxhash64(whole).alias("_doc"), F.posexplode(F.split(whole, "\n", -1)).alias("_at", "_raw"))
     # the look-behind starts matches at tokens only, so that a very long token is read once
-    masked = F.regexp_replace(F.regexp_replace(F.regexp_replace("_raw", r"\s", " "), "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILD), " +", " ")
-    plain = ~F.regexp_like("_raw", F.lit(r"[0-9\t\r\f\x0B]")) & ~F.contains(F.col("_raw"), F.lit("  "))
-    lines = split.select("_id", "_doc", "_at", F.trim(F.when(plain, F.col("_raw")).otherwise(masked)).alias("_line"))
+    odd = F.regexp_like("_raw", F.lit(r"[\t\r\f\x0B]")) | F.contains(F.col("_raw"), F.lit("  "))
+    flat = split.select("_id", "_doc", "_at", F.trim(F.when(odd, F.regexp_replace("_raw", r"\s+", " ")).otherwise(F.col("_raw"))).alias("_flat"))
+    masked = F.regexp_replace("_flat", "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILD)
+    lines = flat.select("_id", "_doc", "_at", F.when(F.regexp_like("_flat", F.lit("[0-9]")), masked).otherwise(F.col("_flat")).alias("_line"), F.xxhash64(F.lit("="), "_flat").alias("_same"))
     size = F.length("_line") - F.length(F.replace(F.col("_line"), F.lit(" "), F.lit(""))) + 1
     sized = lines.withColumn("_size", size).where(F.col("_size") >= TOKENS)
-    return sized.select("_id", "_doc", "_at", "_line", F.xxhash64("_size", F.substring_index("_line", " ", depth)).alias("_leaf"))
+    return sized.select("_id", "_doc", "_at", "_line", "_same", F.xxhash64("_size", F.substring_index("_line", " ", depth)).alias("_leaf"))
 
 
-def recurring_lines(docs: DataFrame, id_col: str, text: str, depth: int, texts: int, fixed: float) -> DataFrame:
-    """_id, _doc, _lines: the numbers of the lines whose template recurs."""
+def recurring_lines(docs: DataFrame, id_col: str, text: str, depth: int, texts: int, fixed: float, verbatim: int) -> DataFrame:
+    """_id, _doc, _lines: the numbers of the lines that recur as they stand, or whose template recurs."""
     lines = lines_of(docs, id_col, text, depth)
-    leaves = settle(lines.select("_leaf", "_doc").distinct().groupBy("_leaf").count().where(F.col("count") >= texts).select(F.col("_leaf").alias("_l")))
+    hashes = settle(lines.select("_id", "_doc", "_at", "_same", "_leaf"))  # no text: lines are parsed once more only for recurring leaves
+    equal = settle(hashes.select("_same", "_doc").distinct().groupBy("_same").count().where(F.col("count") >= verbatim).select(F.col("_same").alias("_s")))
+    same = hashes.join(small(equal), F.col("_same") == F.col("_s"), "left_semi").select("_id", "_doc", "_at")
+    leaves = settle(hashes.select("_leaf", "_doc").distinct().groupBy("_leaf").count().where(F.col("count") >= texts).select(F.col("_leaf").alias("_l")))
     inside = settle(lines.join(small(leaves), F.col("_leaf") == F.col("_l"), "left_semi"))
     forms = settle(inside.select("_leaf", "_line", "_doc").distinct().groupBy("_leaf", "_line").agg(F.count("*").alias("_n")))  # different lines, with their texts
     form = F.xxhash64("_leaf", "_line")
@@ -56,11 +62,11 @@ def recurring_lines(docs: DataFrame, id_col: str, text: str, depth: int, texts:
     templates = settle(templates.select(F.col("_form").alias("_f"), F.xxhash64("_leaf", "_parts").alias("_template")))
     seen = settle(inside.select("_id", "_doc", "_at", form.alias("_form")).join(small(templates), F.col("_form") == F.col("_f")).select("_id", "_doc", "_at", "_template"))
     often = settle(seen.select("_template", "_doc").distinct().groupBy("_template").count().where(F.col("count") >= texts).select(F.col("_template").alias("_often")))
-    drop = seen.join(small(often), F.col("_template") == F.col("_often"), "left_semi")
+    drop = seen.join(small(often), F.col("_template") == F.col("_often"), "left_semi").select("_id", "_doc", "_at").unionAll(same)
     return drop.groupBy("_id", "_doc").agg(F.collect_set("_at").alias("_lines"))
 
 
-def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, depth: int = DEPTH, texts: int = TEXTS, fixed: float = FIXED) -> DataFrame:
+def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, depth: int = DEPTH, texts: int = TEXTS, fixed: float = FIXED, verbatim: int = VERBATIM) -> DataFrame:
     """Each row of docs as id, kept_text, n_lines, n_dropped.
 
     Lines end at \\n. Copies of a whole text count once, so that a text's own copies do not make its lines recur. Null
@@ -68,7 +74,7 @@ def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     each gives a row; null ids are ids like others. An empty table gives no row. Other columns of docs are not read.
     """
     need(docs, id_col, text)
-    found = settle(recurring_lines(docs, id_col, text, depth, texts, fixed)).select(F.col("_id").alias("_i"), F.col("_doc").alias("_d"), "_lines")
+    found = settle(recurring_lines(docs, id_col, text, depth, texts, fixed, verbatim)).select(F.col("_id").alias("_i"), F.col("_doc").alias("_d"), "_lines")
     own = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_doc", F.xxhash64("_text"))
     out = own.join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_doc") == F.col("_d")), "left")
     lines = F.split("_text", "\n", -1)

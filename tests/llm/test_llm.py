@@ -100,6 +100,14 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.drop_template_lines(odd).count() == 10 and line_dedup.drop_template_lines(none).count() == 0
 
 
+def test_line_dedup_of_lines_in_two_texts(spark):
+    passage = " ".join(words_of(60, 1))
+    rows = [(1, f"own words of the first\n{passage}"), (2, f"quite other words here\n  {passage.replace(' ', '  ')}"), (3, "Order 1 of the day\nand a line alone here"), (4, "Order 2 of the day\nbut no other like it")]
+    got = {r["doc_id"]: r for r in line_dedup.drop_template_lines(docs_of(spark, rows)).collect()}
+    assert {d: r["n_dropped"] for d, r in got.items()} == {1: 1, 2: 1, 3: 0, 4: 0}
+    assert got[1]["kept_text"] == "own words of the first" and got[2]["kept_text"] == "quite other words here"
+
+
 def brute_repeats(rows, length):
     """Per document: removed bytes, as a mask."""
     seen, out = {}, {}

@@ -108,6 +108,14 @@ def test_line_dedup_of_lines_in_two_texts(spark):
     assert got[1]["kept_text"] == "own words of the first" and got[2]["kept_text"] == "quite other words here"
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(i, f"{' '.join(words_of(12, i))}\nMenu\n\nAll rights reserved.\n本文由作者授权发布未经许可不得转载或复制全文内容") for i in range(20)]
+    for r in line_dedup.drop_template_lines(docs_of(spark, rows)).collect():
+        assert (r["n_dropped"], r["kept_text"]) == (3, f"{' '.join(words_of(12, r['doc_id']))}\n")
+    few = line_dedup.drop_template_lines(docs_of(spark, rows[:2])).collect()
+    assert {(r["n_dropped"], "Menu" in r["kept_text"]) for r in few} == {(2, True)}
+
+
 def brute_repeats(rows, length):
     """Per document: removed bytes, as a mask."""
     seen, out = {}, {}

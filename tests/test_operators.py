@@ -197,3 +197,16 @@ def test_ann_recall(spark):
     v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
     found = vectors.recall(vectors.cell_topk(v, vectors.asked(v)), vectors.exact_topk(v, vectors.asked(v)))
     assert found.agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_ann_recall_of_weak_clusters(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 32)) + 0.3 * rng.normal(size=(20, 32))[rng.integers(0, 20, 4000)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    truth = vectors.exact_topk(v, vectors.asked(v))
+    assert vectors.recall(vectors.cell_topk(v, vectors.asked(v)), truth).agg(F.avg("recall")).first()[0] >= 0.9
+    every = vectors.cell_topk(v, vectors.asked(v), probes=1000)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, truth.collect()))

@@ -2,30 +2,29 @@
 
 Host labels are split into words by a unigram Viterbi search; the words of host and path are scored by a naive Bayes
 model. Its labels come from a seed lexicon: a URL whose segmented host has a seed word counts as blocked, others as
-allowed, and the model learns which other words keep that company.
+allowed, and the model learns which other words keep that company. Counts of words and tokens stay in tables on the
+executors, all of them; the substrings and tokens that the distinct hosts and paths need are joined to them.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import LOWER, UPPER, fresh, need
-from siltstone.session import table
+from siltstone.session import settle, small, table
 
 #: host suffix, path prefix, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Words that mark a host as unwanted; the naive Bayes model generalises from them.
 SEEDS = ("ads", "adult", "bets", "betting", "casino", "cheap", "escort", "farm", "free", "gambling", "loan", "pills", "poker", "porn", "sex", "slots", "spam", "track", "viagra", "warez", "win", "xxx")
-#: Words of the model, the most frequent of the corpus; a bound on what driver and workers hold.
-VOCABULARY = 200_000
-_LABEL, _PART = re.compile(r"[a-z]+|[0-9]+"), re.compile(r"[^\W_]+")
+_PART = re.compile(r"[^\W_]+")
 
 
 def host_of(url: str) -> Column:
@@ -46,88 +45,131 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 class Words:
-    """Unigram model with a Viterbi split."""
+    """Unigram model with a Viterbi split; counts need only hold the words that a split can use, if total is given."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.counts, self.total = counts, sum(counts.values()) + 1
-        self.longest, self.memo = max(map(len, counts), default=1), {}
-
-    def cost(self, word: str) -> float:
-        n = self.counts.get(word)
-        return math.log(self.total / n) if n else math.log(self.total) + 3.0 * len(word)  # unknown: dearer with each letter
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.counts, self.total = counts, sum(counts.values()) + 1 if total is None else total
+        self.lengths = sorted({len(w) for w in counts})
 
     def split(self, s: str) -> list[str]:
-        if s in self.memo:
-            return self.memo[s]
-        best: list[tuple[float, int]] = [(0.0, 0)]
+        """An unknown word costs more with each letter, so of all starts of one the same stays best until a better one comes."""
+        base, best, start = math.log(self.total), [(0.0, 0)], 0
         for end in range(1, len(s) + 1):
-            known = [(best[a][0] + self.cost(s[a:end]), a) for a in range(max(0, end - self.longest), end)]
-            best.append(min([*known, (best[0][0] + self.cost(s[:end]), 0)] if end > self.longest else known))
+            found = (best[start][0] + base + 3.0 * (end - start), start)
+            for n in self.lengths:
+                if n > end:
+                    break
+                if count := self.counts.get(s[end - n : end]):
+                    found = min(found, (best[end - n][0] + math.log(self.total / count), end - n))
+            best.append(found)
+            if found[0] - 3.0 * end < best[start][0] - 3.0 * start:
+                start = end
         out, end = [], len(s)
         while end:
             out.append(s[best[end][1] : end])
             end = best[end][1]
-        if len(self.memo) < 100_000:
-            self.memo[s] = out[::-1]
         return out[::-1]
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """h: words of the host, p: words of the path."""
-        own = [f"h:{w}" for label in host.split(".") for part in _LABEL.findall(label) for w in (self.split(part) if len(part) < 256 else [part])]
-        return own + [f"p:{w}" for w in _PART.findall(path.lower()) if not w.isdigit()]
 
+class Vocabulary(NamedTuple):
+    """w, n of all words; the sum of n, and one; the lengths of words."""
+
+    table: DataFrame
+    total: int
+    lengths: list[int]
+
+
+class Bayes(NamedTuple):
+    """Multinomial naive Bayes with add-one smoothing: t, odds (log, block against allow) of all tokens, and the odds of unknown ones and of no token."""
 
-class Bayes:
-    """Multinomial naive Bayes with add-one smoothing; the score is the log odds of block against allow."""
+    table: DataFrame
+    unknown: float
+    prior: float
 
-    def __init__(self, block: Counter, allow: Counter, n_block: int, n_allow: int):
-        size = len(block.keys() | allow.keys()) + 1
-        b, a = sum(block.values()) + size, sum(allow.values()) + size
-        self.prior = math.log((n_block + 1) / (n_allow + 1))
-        self.unknown = math.log(a / b)
-        self.odds = {t: math.log((block[t] + 1) / b) - math.log((allow[t] + 1) / a) for t in block.keys() | allow.keys()}
 
-    def score(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.odds.get(t, self.unknown) for t in tokens)
+def looked_up(rows: DataFrame, key: str, among: DataFrame, how: str) -> DataFrame:
+    """rows joined to the rows of `among` (one for each key) that they need."""
+    return rows.join(small(settle(among.join(rows.select(key).distinct(), key, "left_semi"))), key, how)
 
 
-def word_counts(pages: DataFrame, url: str, html: str | None, seeds=SEEDS, bound: int = VOCABULARY) -> Words:
+def word_counts(pages: DataFrame, url: str, html: str | None, seeds=SEEDS) -> Vocabulary:
     """Counts over the words of all pages and of all host labels between hyphens, and the seeds."""
     texts = F.lower(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"<[^>]*>", " ")) if html else F.lit("")
     labels = F.split(F.regexp_replace(host_of(url), r"[^a-z]+", " "), " ")
-    words = pages.select(F.explode(F.concat(F.regexp_extract_all(texts, F.lit("[a-z]+"), F.lit(0)), F.when(host_of(url).contains("-"), labels).otherwise(F.array()))).alias("w")).where("length(w) between 1 and 24")
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(bound)
-    counts = {r["w"]: r["count"] for r in top.collect()}
-    floor = max(1, sum(counts.values()) // 10_000)
-    return Words(counts | {s: max(floor, counts.get(s, 0)) for s in seeds})
+    words = pages.select(F.explode(F.concat(F.regexp_extract_all(texts, F.lit("[a-z]+"), F.lit(0)), F.when(host_of(url).contains("-"), labels).otherwise(F.array()))).alias("w")).where("w != ''").select("w", F.lit(1).alias("c"))
+    marked = pages.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in seeds])).alias("w"), F.lit(0).alias("c"))
+    counts = settle(words.unionAll(marked).groupBy("w").agg(F.sum("c").alias("c")))
+    floor = max(1, counts.agg(F.sum("c")).first()[0] // 10_000)
+    known = counts.select("w", F.when(F.col("w").isin(*seeds), F.greatest("c", F.lit(floor))).otherwise(F.col("c")).alias("n"))
+    by_length = known.groupBy(F.length("w").alias("l")).agg(F.sum("n").alias("n")).collect()  # a row for each length
+    return Vocabulary(known, sum(r["n"] for r in by_length) + 1, sorted(r["l"] for r in by_length))
+
+
+def split_hosts(hosts: DataFrame, words: Vocabulary) -> DataFrame:
+    """host, words in order; hosts has each host once. Only substrings as long as some word are looked up."""
+    parts = settle(hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit("[a-z]+|[0-9]+"), F.lit(0))).alias("at", "part")))
+    own = parts.select("part").distinct()
+    lengths = F.filter(F.array(*[F.lit(n) for n in words.lengths]), lambda n: n <= F.length("part"))
+    cut = F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length("part") - n + 1), lambda i: F.substring(F.col("part"), i, n)))
+    pieces = own.where(F.regexp_like("part", F.lit("^[a-z]"))).select("part", F.explode(F.array_distinct(F.flatten(cut))).alias("w"))
+    known = looked_up(pieces, "w", words.table, "inner").groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("known"))
+    total = words.total
+
+    @F.pandas_udf("array<string>")
+    def split(s: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([Words(dict(k or {}), total).split(x) for x, k in zip(s, known, strict=True)], dtype=object)
 
+    done = settle(own.join(known, "part", "left").select("part", split("part", "known").alias("split")))
+    lists = parts.join(small(done), "part").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "split"))).alias("lists"))
+    return lists.select("host", F.flatten(F.transform("lists", lambda x: x["split"])).alias("words"))
 
-def train(pages: DataFrame, url: str = "url", html: str | None = "html", *, seeds=SEEDS, bound: int = VOCABULARY) -> tuple[Words, Bayes]:
-    """Fits both models on all rows of pages; counts are made on the executors, `bound` tokens of them are kept."""
+
+def path_words(path: str) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(paths: pd.Series) -> pd.Series:
+        return pd.Series([[w for w in _PART.findall(p.lower()) if not w.isdigit()] for p in paths], dtype=object)
+
+    return run(path)
+
+
+def marks(words: Column, kind: str) -> Column:
+    """Tokens: h: words of the host, p: words of the path."""
+    return F.transform(words, lambda w: F.concat(F.lit(f"{kind}:"), w))
+
+
+def train(pages: DataFrame, url: str = "url", html: str | None = "html", *, seeds=SEEDS) -> tuple[Vocabulary, Bayes]:
+    """Fits both models on all rows of pages; the driver gets sums alone."""
     need(pages, url)
-    words, marked = word_counts(pages, url, html, seeds, bound), frozenset(seeds)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: Counter = Counter()
-        for b in batches:
-            for h, p in zip(b["h"], b["p"], strict=True):
-                tokens = words.tokens(h, p)
-                bad = any(t[2:] in marked for t in tokens if t[0] == "h")
-                sums[("", bad)] += 1
-                sums.update((t, bad) for t in tokens)
-            if len(sums) > 200_000:
-                yield pd.DataFrame([(t, b, n) for (t, b), n in sums.items()], columns=["t", "bad", "n"])
-                sums = Counter()
-        if sums:
-            yield pd.DataFrame([(t, b, n) for (t, b), n in sums.items()], columns=["t", "bad", "n"])
-
-    sums = pages.select(host_of(url).alias("h"), path_of(url).alias("p")).mapInPandas(count, "t string, bad boolean, n long").groupBy("t").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(~F.col("bad"), F.col("n")).otherwise(0)).alias("a"))
-    rows = sums.orderBy(F.desc(F.col("t") == ""), F.desc(F.col("a") + F.col("b")), "t").limit(bound + 1).collect()
-    total = next((r for r in rows if r["t"] == ""), None)
-    return words, Bayes(Counter({r["t"]: r["b"] for r in rows if r["t"]}), Counter({r["t"]: r["a"] for r in rows if r["t"]}), total["b"] if total else 0, total["a"] if total else 0)
-
-
-def judge_urls(pages: DataFrame, models: tuple[Words, Bayes], url: str = "url", *, rules=RULES, threshold: float = 0.0) -> DataFrame:
+    words = word_counts(pages, url, html, seeds)
+    hosts = settle(pages.groupBy(host_of(url).alias("host")).agg(F.count("*").alias("rows")))
+    split = split_hosts(hosts.where("host != ''"), words).withColumnRenamed("host", "_host")
+    known = settle(hosts.join(split, F.col("host") == F.col("_host"), "left").select("host", "rows", F.coalesce("words", F.array().cast("array<string>")).alias("words")))
+    known = known.withColumn("bad", F.arrays_overlap("words", F.array(*[F.lit(x) for x in seeds])))
+    sizes = known.groupBy("bad").agg(F.sum("rows").alias("n")).collect()
+    n_block, n_allow = (sum(r["n"] for r in sizes if r["bad"] is bad) for bad in (True, False))
+    bad_hosts = settle(known.where("bad").select(F.col("host").alias("_bad")))
+    urls = pages.select(host_of(url).alias("host"), path_of(url).alias("path")).join(small(bad_hosts), F.col("host") == F.col("_bad"), "left")
+    of_paths = urls.select(F.explode(marks(path_words("path"), "p")).alias("t"), F.col("_bad").isNotNull().alias("bad"), F.lit(1).cast("long").alias("n"))
+    of_hosts = known.select(F.explode(marks(F.col("words"), "h")).alias("t"), "bad", F.col("rows").alias("n"))
+    counts = settle(of_hosts.unionAll(of_paths).groupBy("t").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(~F.col("bad"), F.col("n")).otherwise(0)).alias("a")))
+    all_ = counts.agg(F.count("*").alias("size"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("a"), F.lit(0)).alias("a")).first()
+    b, a = all_["b"] + all_["size"] + 1, all_["a"] + all_["size"] + 1
+
+    @F.pandas_udf("double")
+    def odds(block: pd.Series, allow: pd.Series) -> pd.Series:
+        return pd.Series([math.log((x + 1) / b) - math.log((y + 1) / a) for x, y in zip(block, allow, strict=True)], dtype=float)
+
+    return words, Bayes(settle(counts.select("t", odds("b", "a").alias("odds"))), math.log(a / b), math.log((n_block + 1) / (n_allow + 1)))
+
+
+def odds_of(rows: DataFrame, key: str, tokens: Column, bayes: Bayes) -> DataFrame:
+    """key, odds of its tokens in order; rows has each key once."""
+    each = settle(rows.select(key, F.posexplode(tokens).alias("at", "t")))
+    found = looked_up(each, "t", bayes.table, "left").select(key, F.struct("at", F.coalesce("odds", F.lit(bayes.unknown)).alias("odds")).alias("x"))
+    return found.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs")).select(key, F.transform("xs", lambda x: x["odds"]).alias("odds"))
+
+
+def judge_urls(pages: DataFrame, models: tuple[Vocabulary, Bayes], url: str = "url", *, rules=RULES, threshold: float = 0.0) -> DataFrame:
     """pages with host, path, rule, verdict, score and host_words.
 
     A null url, and one without ://, has empty host and path, fits no rule and has score 0: allow. A score above the
@@ -138,18 +180,24 @@ def judge_urls(pages: DataFrame, models: tuple[Words, Bayes], url: str = "url",
     words, bayes = models
     pages = pages.drop(*[c for c in ("host", "path", "rule", "verdict", "score", "host_words") if c != url])
     mark = fresh(pages, "_judged")
-
-    @F.pandas_udf("score double, host_words string")
-    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for hosts, paths in parts:
-            tokens = [words.tokens(h, p) if h or p else [] for h, p in zip(hosts, paths, strict=True)]
-            yield pd.DataFrame({"score": [bayes.score(t) if t else 0.0 for t in tokens], "host_words": [" ".join(x[2:] for x in t if x[0] == "h") for t in tokens]})
+    h, p = f"{mark}_h", f"{mark}_p"
+    placed = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url))
+    split = settle(split_hosts(placed.select("host").where("host != ''").distinct(), words))
+    of_hosts = settle(split.join(odds_of(split, "host", marks(F.col("words"), "h"), bayes), "host", "left").select(F.struct("host", "words", "odds").alias(h)))
+    of_paths = settle(odds_of(placed.select("path").where("path != ''").distinct(), "path", marks(path_words("path"), "p"), bayes).select(F.struct("path", "odds").alias(p)))
+    prior = bayes.prior
+
+    @F.pandas_udf("double")
+    def score(of_host: pd.Series, of_path: pd.Series) -> pd.Series:
+        lists = ([*(() if x is None else x), *(() if y is None else y)] for x, y in zip(of_host, of_path, strict=True))
+        return pd.Series([float(prior + sum(map(float, x))) if x else 0.0 for x in lists], dtype=float)
 
     fits = rule_of(F.col("host"), F.col("path"), rules)
     names, verdicts = (F.array(*[F.lit(x) for x in xs]) for xs in ([f"{h}{p}" for h, p, _ in rules], [v for *_, v in rules]))
-    out = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn(mark, score("host", "path"))
+    out = placed.join(small(of_hosts), F.col("host") == F.col(f"{h}.host"), "left").join(small(of_paths), F.col("path") == F.col(f"{p}.path"), "left")
+    out = out.withColumn(mark, F.struct(score(f"{h}.odds", f"{p}.odds").alias("score"), F.coalesce(F.array_join(f"{h}.words", " "), F.lit("")).alias("host_words")))
     own = F.when(F.col(f"{mark}.score") > threshold, "block").otherwise("allow")
-    return out.select(*[c for c in out.columns if c != mark], F.get(names, fits).alias("rule"), F.coalesce(F.get(verdicts, fits), own).alias("verdict"), f"{mark}.score", f"{mark}.host_words")
+    return out.select(*[c for c in placed.columns], F.get(names, fits).alias("rule"), F.coalesce(F.get(verdicts, fits), own).alias("verdict"), f"{mark}.score", f"{mark}.host_words")
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -37,6 +37,11 @@ def none(spark):
     return docs_of(spark, [])
 
 
+def words_to(i, n):
+    """n words of letters that no other i has."""
+    return ["".join(chr(97 + int(d)) for d in f"{i}{j:07d}") for j in range(n)]
+
+
 def low(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
@@ -311,6 +316,18 @@ def test_viterbi():
     assert words.split("cheappills") == ["cheap", "pills"] and words.split("") == [] and words.split("thezzz") == ["the", "zzz"]
 
 
+def test_url_words_of_any_rank_and_length(spark):
+    long = "incomprehensibilitiesandmore"
+    many = [(i, f"http://h{i}.org/", f"<p>{' '.join(words_to(i, 20_100))}</p>") for i in range(10)]
+    host = "rareonewordhere" + "x" * 250 + long
+    pages = spark.createDataFrame([*many, (98, "http://b.org/", f"zzrare {long}"), (99, f"http://zzrare{long}.{host}/q", "")], "page_id int, url string, html string")
+    vocabulary, _ = model = url_filter.train(pages)
+    counts = {r["w"]: r["n"] for r in vocabulary.table.collect()}
+    assert len(counts) > 200_000 and counts[long] == counts["zzrare"] == 1
+    got = {r["page_id"]: r["host_words"] for r in url_filter.judge_urls(pages, model).collect()}
+    assert got[99].split()[:2] == ["zzrare", long] and got[99].split()[-1] == long
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

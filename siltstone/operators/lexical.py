@@ -28,9 +28,9 @@ def worded(docs: DataFrame, stop: bool = False) -> DataFrame:
     return docs.select("doc_id", (without_stopwords(words) if stop else words).alias("words"))
 
 
-def queries_of(items: DataFrame, stop: bool = False) -> DataFrame:
-    """qid, term, qtf: how often a query has a term."""
-    words = F.slice(tokens("text"), 1, QUERY_TERMS)
+def queries_of(items: DataFrame, stop: bool = False, terms: int | None = QUERY_TERMS) -> DataFrame:
+    """qid, term, qtf: how often a query has a term; of the whole text without `terms`."""
+    words = F.slice(tokens("text"), 1, terms) if terms else tokens("text")
     return items.select(F.col("item_id").alias("qid"), F.explode(without_stopwords(words) if stop else words).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 

@@ -210,3 +210,10 @@ def test_ann_recall_of_weak_clusters(spark):
     assert vectors.recall(vectors.cell_topk(v, vectors.asked(v)), truth).agg(F.avg("recall")).first()[0] >= 0.9
     every = vectors.cell_topk(v, vectors.asked(v), probes=1000)
     assert sorted(map(tuple, every.collect())) == sorted(map(tuple, truth.collect()))
+
+
+def test_rerank_reads_vectors_and_whole_queries(spark):
+    docs = docs_of(spark, ["alpha beta", "ключ слово другое", "needle", "gamma", None])
+    items = spark.createDataFrame([(7, "ключ слово другое"), (8, "a1 a2 a3 a4 a5 a6 a7 a8 needle")], "item_id int, text string")
+    best = {r["qid"]: r["doc_id"] for r in vectors.reranked(docs, items).where("rank = 1").collect()}
+    assert best == {7: 1, 8: 2}

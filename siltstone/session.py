@@ -33,6 +33,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Removes what settle wrote for df, once nothing reads it any more. Only for a frame that settle itself returned."""
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().logical()
+    found = plan.rdd().getCheckpointFile()
+    if found.isDefined():
+        remove(spark, found.get())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows at most `limit` rows, else df as it is: a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import fresh, need
-from siltstone.session import settle, small, table
+from siltstone.session import release, settle, small, table
 
 #: Words of an n-gram and the least similarity, in percent, where no contract says otherwise.
 WORDS, PERCENT = 5, 80
-#: Classes in a block of the product, n-grams multiplied at once, classes per partition of the shared n-grams' search,
+#: Classes in a block of the product, columns multiplied at once, classes per partition of the shared n-grams' search,
 #: and members of a list that are compared at once.
-BLOCK, COLUMNS, PER_BUCKET, LIST = 256, 4096, 20_000, 4096
+BLOCK, COLUMNS, PER_BUCKET, LIST = 256, 4096, 5000, 1024
+#: Rows that a worker turns into sets at once, entries of sets that it multiplies at once, and nodes of which it joins edges.
+ROWS, ENTRIES, NODES = 256, 1 << 19, 1 << 20
 #: Bins of the counts that bound an overlap, by set size; larger numbers fold to smaller ones. Sets of n unrelated
 #: n-grams differ by about 1.13 * sqrt(bins * n), links of 80 percent by at most 0.22 * n, so bins must grow with n.
 BINS = ((256, 32), (1024, 128), (4096, 512), (16384, 2048), (1 << 62, 8192))
@@ -176,12 +178,13 @@ def _count_frequent(words: int, window: int = 1 << 20, least: int = 4):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, size = {}, 0
         for b in batches:
-            for s in ngram_sets(b.column(0).to_pylist(), words):
-                sets[hashlib.blake2b(s.tobytes(), digest_size=16).digest()] = s  # copies count once
-                size += len(s)
-                if size >= window:
-                    yield flush(sets)
-                    sets, size = {}, 0
+            for at in range(0, b.num_rows, ROWS):
+                for s in ngram_sets(b.column(0).slice(at, ROWS).to_pylist(), words):
+                    sets[hashlib.blake2b(s.tobytes(), digest_size=16).digest()] = s  # copies count once
+                    size += len(s)
+                    if size >= window:
+                        yield flush(sets)
+                        sets, size = {}, 0
         yield flush(sets)
 
     return run
@@ -190,14 +193,17 @@ def _count_frequent(words: int, window: int = 1 << 20, least: int = 4):
 def _sets(words: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
-        for b in batches:
-            keys, sizes, parts, counts = [], [], [], []
-            for s in ngram_sets(b.column("_text").to_pylist(), words):
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sizes.append(len(s))
-                parts.append(prefix(s, often, percent).view(np.int64))
-                counts.append(bins(s))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_row"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["_id", "_row", "_n", "_key", "_prefix", "_bins"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                keys, sizes, parts, counts = [], [], [], []
+                for s in ngram_sets(b.column("_text").to_pylist(), words):
+                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    sizes.append(len(s))
+                    parts.append(prefix(s, often, percent).view(np.int64))
+                    counts.append(bins(s))
+                made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_row"), *made], names=["_id", "_row", "_n", "_key", "_prefix", "_bins"])
 
     return run
 
@@ -266,6 +272,32 @@ class Sets:
         return i != j
 
 
+class Stars:
+    """Joins edges of any nodes and gives them back as an edge from each node to the least of its part."""
+
+    def __init__(self):
+        self.number: dict[int, int] = {}
+        self.nodes: list[int] = []
+        self.sets = Sets(0)
+
+    def add(self, pairs: list[tuple[int, int]]) -> None:
+        for pair in pairs:
+            for x in pair:
+                if x not in self.number:
+                    self.number[x] = len(self.nodes)
+                    self.nodes.append(x)
+                    self.sets.up.append(len(self.sets.up))
+            self.sets.join(self.number[pair[0]], self.number[pair[1]])
+
+    def out(self) -> pa.RecordBatch:
+        roots, least = [self.sets.root(i) for i in range(len(self.nodes))], {}
+        for root, node in zip(roots, self.nodes, strict=True):
+            least[root] = min(least.get(root, node), node)
+        ends = [(node, least[root]) for root, node in zip(roots, self.nodes, strict=True) if node != least[root]]
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in ends], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def compatible(key: np.ndarray, n: np.ndarray, counts: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Edges that join, below each key, the members that pairs within the bounds join. key is sorted; counts: as bins gives them."""
     low = np.stack([folded(c, BINS[0][1]) for c in counts]).astype(np.int16) if counts else np.empty((0, 1), np.int16)
@@ -298,53 +330,63 @@ def compatible(key: np.ndarray, n: np.ndarray, counts: list[np.ndarray], percent
 
 
 def _edges(percent: int):
-    """Edges of classes below the same n-gram, from rows sorted by list."""
+    """Edges that join the classes that edges below the same n-gram join, from rows sorted by list."""
 
-    def found(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def found(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
         t = pa.Table.from_batches(rows)
         _, key = np.unique(t.column("list").to_numpy(), return_inverse=True)
         counts = [np.frombuffer(x, np.uint8) for x in t.column("_bins").to_pylist()]
         cls, n = t.column("cls").to_numpy(), t.column("_n").to_numpy()
         order = np.lexsort((n, key))
         pairs = compatible(key[order], n[order], [counts[k] for k in order.tolist()], percent)
-        ends = [[int(cls[order[p[k]]]) for p in pairs] for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["a", "b"])
+        return [(int(cls[order[i]]), int(cls[order[j]])) for i, j in pairs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for b in batches:
-            lists = b.column("list").to_numpy()
-            last = int(np.searchsorted(lists, lists[-1])) if b.num_rows else 0  # where the last list begins; it may go on
-            if last and sum(x.num_rows for x in held) + last >= 20_000:
-                yield found([*held, b.slice(0, last)])
-                held = [b.slice(last)]
-            else:
-                held.append(b)
-        if held and sum(x.num_rows for x in held):
-            yield found(held)
+        stars = Stars()
+        for whole in batches:
+            for at in range(0, whole.num_rows, LIST):
+                b = whole.slice(at, LIST)
+                lists = b.column("list").to_numpy()
+                last = int(np.searchsorted(lists, lists[-1]))  # where the last list begins; it may go on
+                if last and sum(x.num_rows for x in held) + last >= 4 * LIST:
+                    stars.add(found([*held, b.slice(0, last)]))
+                    held = [b.slice(last)]
+                else:
+                    held.append(b)
+                if len(stars.nodes) >= NODES:
+                    yield stars.out()
+        if held:
+            stars.add(found(held))
+        yield stars.out()
 
     return run
 
 
 def product(sets: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of all pairs of a block: the incidence matrix by its transpose, some columns at a time."""
+    """Overlap counts of all pairs of a block: the incidence matrix by its transpose, a range of hashes and some columns at a time. Sets are sorted."""
     m = len(sets)
     if m == 2:
         return np.array([[len(sets[0]), (n := len(np.intersect1d(sets[0], sets[1], assume_unique=True)))], [n, len(sets[1])]])
-    who = np.repeat(np.arange(m), [len(s) for s in sets])
-    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    wide = counts > 1
-    number = np.cumsum(wide) - 1
-    keep = wide[column]
-    who, column = who[keep], number[column[keep]]
     out = np.zeros((m, m), np.float64)
-    order = np.argsort(column, kind="stable")
-    who, column = who[order], column[order]
-    for start in range(0, int(wide.sum()), COLUMNS):
-        x, y = np.searchsorted(column, (start, start + COLUMNS))
-        a = np.zeros((m, COLUMNS), np.float32)
-        a[who[x:y], column[x:y] - start] = 1
-        out += a @ a.T
+    ranges = -(-sum(len(s) for s in sets) // ENTRIES)
+    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
+    for k in range(ranges):
+        own = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+        who = np.repeat(np.arange(m), [len(s) for s in own])
+        _, column, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        wide = counts > 1
+        number = np.cumsum(wide) - 1
+        keep = wide[column]
+        who, column = who[keep], number[column[keep]]
+        order = np.argsort(column, kind="stable")
+        who, column = who[order], column[order]
+        for start in range(0, int(wide.sum()), COLUMNS):
+            x, y = np.searchsorted(column, (start, start + COLUMNS))
+            a = np.zeros((m, COLUMNS), np.float32)
+            a[who[x:y], column[x:y] - start] = 1
+            out += a @ a.T
     return out
 
 
@@ -367,43 +409,47 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 def _blocks(words: int, percent: int):
     """Links within blocks, from rows sorted by block."""
 
-    def links(members: list[tuple[int, str]]) -> Iterator[tuple[int, int]]:
-        if len(members) > 1:
-            sets = ngram_sets([t for _, t in members], words)
-            yield from ((members[i][0], members[j][0]) for i, j in forest(sets, percent))
+    def links(members: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        return [(members[i], members[j]) for i, j in forest(sets, percent)] if len(members) > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, members = None, []
-        for b in batches:
-            out: list[tuple[int, int]] = []
-            for block, cls, text in zip(b.column("block").to_pylist(), b.column("cls").to_pylist(), b.column("_text"), strict=True):
-                if block != at:
-                    out += links(members)
-                    members = []
-                at = block
-                members.append((cls, text.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        out = list(links(members))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        at, members, sets, stars = None, [], [], Stars()
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                b = whole.slice(start, ROWS)
+                for block, cls, own in zip(b.column("block").to_pylist(), b.column("cls").to_pylist(), ngram_sets(b.column("_text").to_pylist(), words), strict=True):
+                    if block != at:
+                        stars.add(links(members, sets))
+                        members, sets = [], []
+                    at = block
+                    members.append(cls)
+                    sets.append(own)
+                if len(stars.nodes) >= NODES:
+                    yield stars.out()
+        stars.add(links(members, sets))
+        yield stars.out()
 
     return run
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node of its component) from edges a, b, by large-star and small-star rounds."""
+    """node, label (the smallest node of its component) from edges a, b, by large-star and small-star rounds, none if the edges are stars already."""
     e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
     while True:
-        state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (state["n"], state["h"]) == seen or not state["n"]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        seen = (state["n"], state["h"])
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
-        rest = large.join(least, F.col("u") == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settle(rest.union(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct())
+        near = F.count_if(F.col("v") < F.col("u"))
+        nodes = settle(both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"), ((near > 1) | ((near == 1) & (F.count("*") > 1))).alias("more")))
+        if nodes.where("more").isEmpty():  # each node is the least of its part or has one edge, to that
+            release(nodes)
+            return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        least = small(nodes.select("x", F.least("x", "m").alias("m")))
+        large = settle(both.join(least, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = settle(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m"))
+        rest = large.join(small(least), F.col("u") == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = settle(rest.union(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct())
+        for old in (e, nodes, large, least):
+            release(old)
+        e = new
 
 
 def _pairs_of_parts(df: DataFrame, part: str, parts: str) -> DataFrame:
@@ -470,6 +516,22 @@ def links_within(texts: DataFrame, joined: DataFrame, words: int, percent: int,
     return found if members.isEmpty() else found.union(links(_across(members, block)))
 
 
+def _frequent(rows: DataFrame, words: int, most: int = FREQUENT) -> np.ndarray:
+    """The most frequent n-grams, sorted: all those above the least count that leaves at most `most` of them."""
+    counted = settle(rows.select("_text").mapInArrow(_count_frequent(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    level = F.floor(F.log2("n") * 16)
+    levels = sorted(counted.groupBy(level.alias("k")).agg(F.count("*").alias("c")).collect(), reverse=True)  # 16 rows at most for each doubling
+    total, least = 0, None
+    for k, c in levels:
+        total += c
+        if total > most:
+            break
+        least = k
+    found = np.empty(0, np.int64) if least is None else counted.where(level >= least).select("h").toPandas()["h"].to_numpy(np.int64)
+    release(counted)
+    return np.sort(found.view(np.uint64))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """A row for each row of docs: its id, n_shingles, component_id, class_id, stays, row (its monotonically_increasing_id in docs).
 
@@ -482,8 +544,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
-    often = rows.select("_text").mapInArrow(_count_frequent(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT)
-    frequent = spark.sparkContext.broadcast(np.sort(often.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
+    frequent = spark.sparkContext.broadcast(_frequent(rows, words))
     sets = settle(rows.mapInArrow(_sets(words, percent, frequent), f"_id {kind}, _row long, _n long, _key binary, _prefix array<long>, _bins binary"))
     first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row")))
     classes = settle(sets.where("_n > 0").groupBy("_key").agg(first.alias("f")).select("_key", F.col("f._id").alias("_least"), F.col("f._row").alias("_cls")))

@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import need
-from siltstone.session import settle, shared_dir, table
+from siltstone.session import remove, settle, shared_dir, table
 
 #: Compressed bytes after which a task begins another archive.
 ARCHIVE = 64 << 20
@@ -161,11 +161,6 @@ def read_warc(index: DataFrame, folder: str, *, gap: int = GAP, span: int = SPAN
     return ranges(index, gap, span).mapInPandas(run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload string")
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     index = write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)

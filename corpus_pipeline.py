@@ -11,12 +11,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import fresh
 from siltstone.llm.decontaminate import decontaminate
 from siltstone.llm.langid import fitted, identify
-from siltstone.llm.mixing import mix_sources, repeat_rows
+from siltstone.llm.mixing import NAMES, mix_sources, repeat_rows
 from siltstone.llm.ngram_join import jaccard_stays
 from siltstone.llm.sharding import shard_rows_whole
-from siltstone.session import shared_dir, table
+from siltstone.session import remove, shared_dir, table
 
 #: A document of which no n-gram list comes this near to any language's profile is no language that was learned.
 LEAST_SCORE = 0.15
@@ -25,7 +26,7 @@ SHARDS = 16
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that was learned: null texts, texts without a letter and texts far from every profile go."""
-    names = ("_lang_pred", "_lang_score")
+    names = (fresh(docs, "_lang_pred"), fresh(docs, "_lang_score"))
     judged = identify(docs, fitted(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), names=names)
     return judged.where((F.col(names[0]) != "und") & (F.col(names[1]) >= LEAST_SCORE)).select(*docs.columns)
 
@@ -42,8 +43,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document."""
-    mixed = mix_sources(docs.select("doc_id", "text", "source", *[c for c in docs.columns if c not in ("doc_id", "text", "source")]))
-    return repeat_rows(mixed).select(*docs.columns)
+    names = tuple(fresh(docs, f"_{n}") for n in NAMES)
+    return repeat_rows(mix_sources(docs, names=names), names[NAMES.index("copies")]).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")  # its successor is written
     return docs
 
 

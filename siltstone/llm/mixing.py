@@ -10,94 +10,99 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import fresh, hash60, need
-from siltstone.session import settle, table
+from siltstone.llm.sharding import numbered
+from siltstone.session import release, settle, small, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BITS, LEVEL = 60, 12
-#: One target per source is held on the driver and broadcast; more sources than this are refused, not cut.
-MAX_SOURCES = 100_000
+NAMES = ("size", "source_size", "target", "copies", "taken")
 
 
-def even_weights(n: int) -> list[float]:
-    """3, 1, 2, repeating."""
-    return [float((3, 1, 2)[i % 3]) for i in range(n)]
+def even_weights(place: Column) -> Column:
+    """3, 1, 2, repeating, for the place of a source in order, from 0."""
+    return F.when(place % 3 == 0, 3.0).when(place % 3 == 1, 1.0).otherwise(2.0)
 
 
-def water_fill(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
-    """Targets by weight that add up to share * sum(sizes); none is above most * its size, the excess goes to the others by weight."""
-    caps, targets = [most * s for s in sizes], [0.0] * len(sizes)
-    left, free = min(share * sum(sizes), sum(caps)), sorted(range(len(sizes)), key=lambda i: caps[i] / weights[i])
-    total = sum(weights)
-    for i in free:
-        targets[i] = min(caps[i], left * weights[i] / total) if total > 0 else 0.0
-        left, total = left - targets[i], total - weights[i]
-    return targets
+def water_fill(sources: DataFrame, share: float, most: float) -> DataFrame:
+    """sources (n and weight a row) with target: by weight, adding up to share * sum(n), none above most * n; the excess goes to the others by weight.
 
+    One rate for a unit of weight serves all sources below their limit. It only rises as limits are met, so it is found
+    by a few sums over the sources, of which none comes to the driver.
+    """
+    limit = F.lit(float(most)) * F.col("n")
+    budget = float(share) * (sources.agg(F.sum("n")).first()[0] or 0)
+    rate, met = 0.0, -1
+    while True:
+        full = F.col("weight") * F.lit(rate) >= limit if met >= 0 else F.lit(False)
+        r = sources.agg(F.count_if(full).alias("met"), F.coalesce(F.sum(F.when(full, limit)), F.lit(0.0)).alias("capped"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)).alias("free")).first()
+        if r["met"] == met or not r["free"]:
+            break
+        rate, met = max(0.0, (budget - r["capped"]) / r["free"]), r["met"]
+    return sources.withColumn("target", F.when(full, limit).otherwise(F.least(F.col("weight") * F.lit(rate), limit)))
 
-def source_order(name: str | None) -> tuple[bool, str]:
-    """By code point, null last."""
-    return name is None, name or ""
 
+def thresholds(sized: DataFrame, budgets: DataFrame, size: str, h: str) -> DataFrame:
+    """_s and _cut: for each source (_s, _budget) the hash below which rows are in, so that their sizes add up to the budget but for the nearest whole hash value.
 
-def thresholds(sized: DataFrame, budgets: dict[str | None, float], source: str, size: str, h: str) -> dict[str | None, int]:
-    """For each source, the hash below which rows are in: their sizes add up to the budget but for the nearest whole hash value."""
-    spark = sized.sparkSession
-    low = {s: (0, 0) for s, b in budgets.items() if b > 0}  # source: start of the bucket looked at, sizes before it
-    found = {s: 0 for s in budgets}
+    sized: _source, and size and hash by name. Of a source only one row goes from level to level: the bucket in which its
+    budget ends, and the sizes before it.
+    """
+    state = settle(budgets.select("_s", F.col("_budget").cast("double").alias("_budget"), F.lit(0).cast("long").alias("_low"), F.lit(0).cast("long").alias("_before"), F.when(F.col("_budget") <= 0, F.lit(0)).cast("long").alias("_cut")))
+    run = Window.partitionBy("_s").orderBy("_b")  # at most 4096 rows a source
     for shift in range(BITS - LEVEL, -1, -LEVEL):
-        if not low:
-            break
-        at = F.broadcast(spark.createDataFrame([(s, v[0], float(budgets[s] - v[1])) for s, v in low.items()], "_s string, _low long, _left double"))
-        inside = sized.join(at, sized[source].eqNullSafe(at["_s"]) & (F.col(h) >= F.col("_low")) & (F.col(h) < F.col("_low") + F.lit(1 << (shift + LEVEL))))
-        buckets = inside.groupBy("_s", "_left", F.shiftright(F.col(h) - F.col("_low"), shift).alias("_b")).agg(F.sum(size).alias("_n"))
-        run = Window.partitionBy("_s").orderBy("_b")  # at most 4096 rows a source
+        open_ = state.where("_cut IS NULL")
+        inside = sized.join(small(open_), F.col("_source").eqNullSafe(F.col("_s")) & (F.col(h) >= F.col("_low")) & (F.col(h) < F.col("_low") + F.lit(1 << (shift + LEVEL))))
+        buckets = inside.groupBy("_s", (F.col("_budget") - F.col("_before")).alias("_left"), F.shiftright(F.col(h) - F.col("_low"), shift).alias("_b")).agg(F.sum(size).alias("_n"))
         ends = buckets.withColumn("_upto", F.sum("_n").over(run)).where("_upto > _left")
-        ends = ends.groupBy("_s").agg(F.min(F.struct("_b", "_n", "_upto")).alias("e")).select("_s", "e.*").collect()  # one row a source
-        over = {r["_s"]: (low[r["_s"]][0] + (r["_b"] << shift), low[r["_s"]][1] + r["_upto"] - r["_n"], r["_n"]) for r in ends}
-        for s in [s for s in low if s not in over]:  # the budget takes the whole bucket
-            found[s] = low.pop(s)[0] + (1 << (shift + LEVEL))
-        low = {s: over[s][:2] for s in low}
+        ends = ends.groupBy("_s").agg(F.min(F.struct("_b", "_n", "_upto")).alias("_e")).select(F.col("_s").alias("_t"), "_e")
+        low, before = F.col("_low") + F.shiftleft("_e._b", shift), F.col("_before") + F.col("_e._upto") - F.col("_e._n")
+        nearer = before + F.col("_e._n") - F.col("_budget") < F.col("_budget") - before  # the hash value that the budget cuts is in if that comes nearer
+        cut = F.when(F.col("_cut").isNotNull(), F.col("_cut")).when(F.col("_e").isNull(), F.col("_low") + F.lit(1 << (shift + LEVEL)))  # the budget takes the whole bucket
         if not shift:
-            for s, (bucket, before, n) in over.items():  # the hash value that the budget cuts is in if that comes nearer
-                found[s] = bucket + (1 if before + n - budgets[s] < budgets[s] - before else 0)
-    return found
+            cut = cut.otherwise(low + nearer.cast("int"))
+        new = settle(state.join(ends, F.col("_s").eqNullSafe(F.col("_t")), "left").select("_s", "_budget", F.coalesce(low, "_low").alias("_low"), F.coalesce(before, "_before").alias("_before"), cut.alias("_cut")))
+        release(state)
+        state = new
+    return state.select("_s", "_cut")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", *, weights: Callable[[int], list[float]] = even_weights, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """docs with size, source_size, target, copies, taken.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", *, weights: Callable[[Column], Column] = even_weights, share: float = 1.5, most: float = 2.0, seed: str = "mix", names: tuple[str, str, str, str, str] = NAMES) -> DataFrame:
+    """docs with size, source_size, target, copies, taken, or as `names` calls them.
 
     A row's copies are the whole times that its source's target holds the source's size, and one more if the row's hash
     is below the source's threshold for the rest. Null and empty texts have size 0 and are taken like others. A null
     source is a source of its own, last in order. A null id hashes as empty; rows with equal id and text share a hash,
-    so they are in or out together. An empty table gives no row. Columns of docs with one of the five names are replaced.
+    so they are in or out together. An empty table gives no row. Columns of docs with one of the five names are
+    replaced; any other column stays, whatever its name. Sources may be as many as documents.
     """
     need(docs, id_col, text, source)
-    docs = docs.drop(*[c for c in ("size", "source_size", "target", "copies", "taken") if c not in (id_col, text, source)])
-    h = fresh(docs, "_h")
-    spark = docs.sparkSession
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")).withColumn(h, hash60(id_col, F.md5(F.coalesce(F.col(text), F.lit(""))), seed=seed))
-    slim = settle(sized.select(F.col(source).cast("string").alias("_source"), F.col("size").alias("_size"), F.col(h).alias("_hash")))
-    sums = slim.groupBy("_source").agg(F.sum("_size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sums.sort(key=lambda r: source_order(r["_source"]))
-    sizes = {r["_source"]: r["n"] for r in sums}
-    targets = dict(zip(sizes, water_fill(list(sizes.values()), weights(len(sizes)), share, most), strict=True))
-    whole = {s: min(int(most), int(targets[s] // n)) if n else 0 for s, n in sizes.items()}
-    cuts = thresholds(slim, {s: targets[s] - whole[s] * n for s, n in sizes.items()}, "_source", "_size", "_hash")
-    plan = F.broadcast(spark.createDataFrame([(s, n, targets[s], whole[s], cuts[s]) for s, n in sizes.items()], "_s string, source_size long, target double, _whole int, _cut long"))
-    out = sized.join(plan, F.col(source).cast("string").eqNullSafe(F.col("_s")), "left")
-    out = out.withColumn("copies", F.col("_whole") + (F.col(h) < F.col("_cut")).cast("int"))
-    return out.withColumn("taken", F.col("size") * F.col("copies")).drop("_s", "_whole", "_cut", h)
-
-
-def repeat_rows(mixed: DataFrame) -> DataFrame:
+    docs = docs.drop(*[c for c in names if c not in (id_col, text, source)])
+    size, source_size, target, copies, taken = names
+    mark = fresh(docs, "_mix")
+    counted = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    hashed = hash60(id_col, F.md5(F.coalesce(F.col(text), F.lit(""))), seed=seed)
+    slim = settle(docs.select(F.col(source).cast("string").alias("_source"), counted.alias("_size"), hashed.alias("_hash")))
+    sums = slim.groupBy(F.col("_source").alias("_s"), F.col("_source").isNull().alias("_last")).agg(F.sum("_size").alias("n"))
+    places = numbered(sums, ["_last", "_s"], "_place")
+    filled = water_fill(settle(places.select("_s", "n", weights(F.col("_place")).cast("double").alias("weight"))), share, most)
+    whole = F.when(F.col("n") > 0, F.least(F.lit(int(most)), F.floor(F.col("target") / F.col("n")))).otherwise(0).cast("int")
+    plan = settle(filled.select("_s", "n", "target", whole.alias("_whole")))
+    cuts = thresholds(slim, plan.select("_s", (F.col("target") - F.col("_whole") * F.col("n")).alias("_budget")), "_size", "_hash").withColumnRenamed("_s", "_c")
+    joined = plan.join(cuts, F.col("_s").eqNullSafe(F.col("_c")))
+    each = small(settle(joined.select(F.struct("_s", "n", "target", "_whole", "_cut").alias(mark))))
+    out = docs.withColumns({f"{mark}_n": counted, f"{mark}_h": hashed}).join(each, F.col(source).cast("string").eqNullSafe(F.col(f"{mark}._s")), "left")
+    times = F.col(f"{mark}._whole") + (F.col(f"{mark}_h") < F.col(f"{mark}._cut")).cast("int")
+    return out.select(*docs.columns, F.col(f"{mark}_n").alias(size), F.col(f"{mark}.n").alias(source_size), F.col(f"{mark}.target").alias(target), times.alias(copies), (F.col(f"{mark}_n") * times).alias(taken))
+
+
+def repeat_rows(mixed: DataFrame, copies: str = "copies") -> DataFrame:
     """A row for each copy that the mix takes."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy")
+    one = fresh(mixed, "_copy")
+    return mixed.where(F.col(copies) > 0).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(one)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """URL filters: longest-prefix rules, else host word segmentation and multinomial naive Bayes.
 
-Host labels are split into words by a unigram Viterbi search; the words of host and path are scored by a naive Bayes
-model. Its labels come from a seed lexicon: a URL whose segmented host has a seed word counts as blocked, others as
-allowed, and the model learns which other words keep that company. Counts of words and tokens stay in tables on the
-executors, all of them; the substrings and tokens that the distinct hosts and paths need are joined to them.
+Host labels are split into words by a unigram Viterbi search; the words of host and path are scored by a multinomial
+naive Bayes model. It is learned from the URLs that a rule decides, blocked or allowed, and judges the others. Counts of
+words and tokens stay in tables on the executors, all of them; the substrings and tokens that the distinct hosts and
+paths need are joined to them.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from siltstone.session import settle, small, table
 
 #: host suffix, path prefix, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Words that mark a host as unwanted; the naive Bayes model generalises from them.
-SEEDS = ("ads", "adult", "bets", "betting", "casino", "cheap", "escort", "farm", "free", "gambling", "loan", "pills", "poker", "porn", "sex", "slots", "spam", "track", "viagra", "warez", "win", "xxx")
 _PART = re.compile(r"[^\W_]+")
 
 
@@ -44,6 +42,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return fits
 
 
+def verdict_of(host: Column, path: Column, rules=RULES) -> Column:
+    """The verdict of the longest rule that fits, or null."""
+    return F.get(F.array(*[F.lit(v) for *_, v in rules]), rule_of(host, path, rules)) if rules else F.lit(None).cast("string")
+
+
 class Words:
     """Unigram model with a Viterbi split; counts need only hold the words that a split can use, if total is given."""
 
@@ -92,17 +95,14 @@ def looked_up(rows: DataFrame, key: str, among: DataFrame, how: str) -> DataFram
     return rows.join(small(settle(among.join(rows.select(key).distinct(), key, "left_semi"))), key, how)
 
 
-def word_counts(pages: DataFrame, url: str, html: str | None, seeds=SEEDS) -> Vocabulary:
-    """Counts over the words of all pages and of all host labels between hyphens, and the seeds."""
+def word_counts(pages: DataFrame, url: str, html: str | None) -> Vocabulary:
+    """Counts over the words of all pages and of all host labels between hyphens."""
     texts = F.lower(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"<[^>]*>", " ")) if html else F.lit("")
     labels = F.split(F.regexp_replace(host_of(url), r"[^a-z]+", " "), " ")
-    words = pages.select(F.explode(F.concat(F.regexp_extract_all(texts, F.lit("[a-z]+"), F.lit(0)), F.when(host_of(url).contains("-"), labels).otherwise(F.array()))).alias("w")).where("w != ''").select("w", F.lit(1).alias("c"))
-    marked = pages.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in seeds])).alias("w"), F.lit(0).alias("c"))
-    counts = settle(words.unionAll(marked).groupBy("w").agg(F.sum("c").alias("c")))
-    floor = max(1, counts.agg(F.sum("c")).first()[0] // 10_000)
-    known = counts.select("w", F.when(F.col("w").isin(*seeds), F.greatest("c", F.lit(floor))).otherwise(F.col("c")).alias("n"))
-    by_length = known.groupBy(F.length("w").alias("l")).agg(F.sum("n").alias("n")).collect()  # a row for each length
-    return Vocabulary(known, sum(r["n"] for r in by_length) + 1, sorted(r["l"] for r in by_length))
+    words = pages.select(F.explode(F.concat(F.regexp_extract_all(texts, F.lit("[a-z]+"), F.lit(0)), F.when(host_of(url).contains("-"), labels).otherwise(F.array()))).alias("w"))
+    counts = settle(words.where("w != ''").groupBy("w").agg(F.count("*").alias("n")))
+    by_length = counts.groupBy(F.length("w").alias("l")).agg(F.sum("n").alias("n")).collect()  # a row for each length
+    return Vocabulary(counts, sum(r["n"] for r in by_length) + 1, sorted(r["l"] for r in by_length))
 
 
 def split_hosts(hosts: DataFrame, words: Vocabulary) -> DataFrame:
@@ -137,20 +137,21 @@ def marks(words: Column, kind: str) -> Column:
     return F.transform(words, lambda w: F.concat(F.lit(f"{kind}:"), w))
 
 
-def train(pages: DataFrame, url: str = "url", html: str | None = "html", *, seeds=SEEDS) -> tuple[Vocabulary, Bayes]:
-    """Fits both models on all rows of pages; the driver gets sums alone."""
+def train(pages: DataFrame, url: str = "url", html: str | None = "html", *, rules=RULES) -> tuple[Vocabulary, Bayes]:
+    """Fits both models: words on all rows of pages, naive Bayes on all rows that a rule decides. The driver gets sums alone.
+
+    Where no rule decides a row, every score is 0, which allows.
+    """
     need(pages, url)
-    words = word_counts(pages, url, html, seeds)
-    hosts = settle(pages.groupBy(host_of(url).alias("host")).agg(F.count("*").alias("rows")))
-    split = split_hosts(hosts.where("host != ''"), words).withColumnRenamed("host", "_host")
-    known = settle(hosts.join(split, F.col("host") == F.col("_host"), "left").select("host", "rows", F.coalesce("words", F.array().cast("array<string>")).alias("words")))
-    known = known.withColumn("bad", F.arrays_overlap("words", F.array(*[F.lit(x) for x in seeds])))
-    sizes = known.groupBy("bad").agg(F.sum("rows").alias("n")).collect()
+    words = word_counts(pages, url, html)
+    urls = pages.select(host_of(url).alias("host"), path_of(url).alias("path"))
+    labelled = urls.select("host", "path", (verdict_of(F.col("host"), F.col("path"), rules) == "block").alias("bad")).where("bad IS NOT NULL")
+    hosts = settle(labelled.groupBy("host", "bad").agg(F.count("*").alias("rows")))
+    sizes = hosts.groupBy("bad").agg(F.sum("rows").alias("n")).collect()
     n_block, n_allow = (sum(r["n"] for r in sizes if r["bad"] is bad) for bad in (True, False))
-    bad_hosts = settle(known.where("bad").select(F.col("host").alias("_bad")))
-    urls = pages.select(host_of(url).alias("host"), path_of(url).alias("path")).join(small(bad_hosts), F.col("host") == F.col("_bad"), "left")
-    of_paths = urls.select(F.explode(marks(path_words("path"), "p")).alias("t"), F.col("_bad").isNotNull().alias("bad"), F.lit(1).cast("long").alias("n"))
-    of_hosts = known.select(F.explode(marks(F.col("words"), "h")).alias("t"), "bad", F.col("rows").alias("n"))
+    split = split_hosts(hosts.where("host != ''").select("host").distinct(), words)
+    of_hosts = hosts.join(split, "host").select(F.explode(marks(F.col("words"), "h")).alias("t"), "bad", F.col("rows").alias("n"))
+    of_paths = labelled.select(F.explode(marks(path_words("path"), "p")).alias("t"), "bad", F.lit(1).cast("long").alias("n"))
     counts = settle(of_hosts.unionAll(of_paths).groupBy("t").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(~F.col("bad"), F.col("n")).otherwise(0)).alias("a")))
     all_ = counts.agg(F.count("*").alias("size"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("a"), F.lit(0)).alias("a")).first()
     b, a = all_["b"] + all_["size"] + 1, all_["a"] + all_["size"] + 1
@@ -193,11 +194,11 @@ def judge_urls(pages: DataFrame, models: tuple[Vocabulary, Bayes], url: str = "u
         return pd.Series([float(prior + sum(map(float, x))) if x else 0.0 for x in lists], dtype=float)
 
     fits = rule_of(F.col("host"), F.col("path"), rules)
-    names, verdicts = (F.array(*[F.lit(x) for x in xs]) for xs in ([f"{h}{p}" for h, p, _ in rules], [v for *_, v in rules]))
+    names = F.array(*[F.lit(f"{h}{p}") for h, p, _ in rules])
     out = placed.join(small(of_hosts), F.col("host") == F.col(f"{h}.host"), "left").join(small(of_paths), F.col("path") == F.col(f"{p}.path"), "left")
     out = out.withColumn(mark, F.struct(score(f"{h}.odds", f"{p}.odds").alias("score"), F.coalesce(F.array_join(f"{h}.words", " "), F.lit("")).alias("host_words")))
     own = F.when(F.col(f"{mark}.score") > threshold, "block").otherwise("allow")
-    return out.select(*[c for c in placed.columns], F.get(names, fits).alias("rule"), F.coalesce(F.get(verdicts, fits), own).alias("verdict"), f"{mark}.score", f"{mark}.host_words")
+    return out.select(*[c for c in placed.columns], F.get(names, fits).alias("rule"), F.coalesce(verdict_of(F.col("host"), F.col("path"), rules), own).alias("verdict"), f"{mark}.score", f"{mark}.host_words")
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 Every window of `length` bytes has a leader, the q-gram in it with the smallest hash; equal windows have equal leaders at
 equal places, so the leaders' q-grams are the initial buckets, and a bucket that one window leads alone needs no sort.
-Only leaders that occur twice keep their neighbourhood. Within such a bucket the suffixes are refined: ranks of 8 bytes
-give ranks of 16 by sorting on a suffix's own rank and that of the suffix 8 later, these give 32 and 64, and a last step
-gives the whole depth; each refined rank is the key of the next sort. Of equal windows the first in the order of the
-documents stays and the others are marked.
+Only leaders that occur twice keep their neighbourhood. Each suffix of it points to its bucket, at first that of its next 8
+bytes. Buckets of several suffixes are refined by sorting on the bucket of the suffix 8 later, then 16, 32 and so on to
+the whole depth; a suffix alone in its bucket is done, and its pointer serves all later steps as it is. Of equal windows
+the first in the order of the documents stays and the others are marked.
 
 Texts are packed into compressed batches once. Leaders are dealt as packed arrays by hash, neighbourhoods that are equal
 within a batch are sent once, and marks return to the batch: a passage in a third of all documents is one entry a batch.
@@ -27,7 +27,7 @@ from siltstone.session import settle, small, table
 #: Bytes of a repeat, and of a leading q-gram.
 LENGTH, Q = 100, 32
 #: Bytes of text in a batch, in a piece that is hashed at once, and behind one bucket.
-BATCH, PIECE, PER_BUCKET = 4 << 20, 1 << 16, 16 << 20
+BATCH, PIECE, PER_BUCKET = 4 << 20, 1 << 16, 8 << 20
 _BYTE = np.random.default_rng(20240718).integers(0, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0xD6E8FEB86659FD93
 _LOW = np.uint64((1 << 17) - 1)
@@ -99,6 +99,13 @@ def _opened(data: bytes, size: int, docs: list[dict]) -> tuple[np.ndarray, np.nd
     return raw, np.cumsum([d["n"] for d in docs])
 
 
+def _each(b: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """The rows of a batch as Python values, one at a time."""
+    columns = [b.column(c) for c in names]
+    for i in range(b.num_rows):
+        yield tuple(c[i].as_py() for c in columns)
+
+
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
 
@@ -115,7 +122,7 @@ def _leaders(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for number, docs, size, data in zip(*(b.column(c).to_pylist() for c in ("batch", "docs", "size", "data")), strict=True):
+            for number, docs, size, data in _each(b, "batch", "docs", "size", "data"):
                 raw, ends = _opened(data, size, docs)
                 h, place, *_ = runs(raw, ends, length)
                 order = np.argsort(place, kind="stable")
@@ -134,7 +141,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Ite
     """The rows of one bucket after the other; they come sorted by bucket."""
     at, rows = None, []
     for b in batches:
-        for bucket, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", *names)), strict=True):
+        for bucket, *row in _each(b, "bucket", *names):
             if bucket != at and rows:
                 yield rows
                 rows = []
@@ -209,7 +216,7 @@ def _contexts(length: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("batch", "docs", "size", "data", "blobs")), strict=True):
+            for row in _each(b, "batch", "docs", "size", "data", "blobs"):
                 rows = [{k: v for k, v in r.items() if k != "_n"} | {"heads": int(r["_n"]).to_bytes(8, "little") + r["heads"] if "_n" in r else b""} for r in one(*row)]
                 yield pa.RecordBatch.from_pylist(rows, schema=_SENT)
 
@@ -217,9 +224,10 @@ def _contexts(length: int, buckets: int):
 
 
 def refine(pool: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
-    """A rank for the `length` bytes from each place of the pool on; left: bytes from there to the end of its context. Places with fewer get -1.
+    """The bucket of the `length` bytes from each place of the pool on; left: bytes from there to the end of its context. Places with fewer get -1.
 
-    The ranks of 8 bytes are refined to 16, 32, ... by sorting on the ranks of a place and of that one step later.
+    Only buckets of several places are sorted again, on the pointers of their places and of those one step later. A place
+    that is alone keeps its pointer, which tells it from all others at any depth.
     """
     n = len(pool)
     wide = np.zeros(n + 8, np.uint64)
@@ -227,15 +235,22 @@ def refine(pool: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
     first = np.zeros(n, np.uint64)
     for k in range(8):
         first = (first << np.uint64(8)) | wide[k : n + k]
-    rank, depth = np.unique(first, return_inverse=True)[1].astype(np.int64), 8
+    _, bucket, counts = np.unique(first, return_inverse=True, return_counts=True)
+    bucket, several, buckets, depth = bucket.astype(np.int64), counts[bucket] > 1, len(counts), 8
     while depth < length:
         step = min(depth, length - depth)
-        good = np.flatnonzero(left >= depth + step)
-        pair = rank[good] * (int(rank.max(initial=0)) + 1) + rank[good + step]
-        refined = np.full(n, -1, np.int64)
-        refined[good] = np.unique(pair, return_inverse=True)[1]
-        rank, depth = refined, depth + step
-    return rank
+        again = np.flatnonzero(several & (left >= depth + step))
+        if not len(again):
+            break
+        _, own, counts = np.unique(bucket[again] * buckets + bucket[again + step], return_inverse=True, return_counts=True)
+        bucket[again] = own + buckets
+        several[:] = False
+        several[again] = counts[own] > 1
+        if buckets + len(counts) > 1 << 31:
+            bucket, counts = np.unique(bucket, return_inverse=True)[1].astype(np.int64), ()
+            buckets = int(bucket.max()) + 1
+        buckets, depth = buckets + len(counts), depth + step
+    return np.where(left >= length, bucket, -1)
 
 
 def _marked(length: int):
@@ -301,7 +316,7 @@ def _marked(length: int):
 def _cut_out(length: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for docs, size, data, blobs in zip(*(b.column(c).to_pylist() for c in ("docs", "size", "data", "blobs")), strict=True):
+            for docs, size, data, blobs in _each(b, "docs", "size", "data", "blobs"):
                 raw, ends = _opened(data, size, docs)
                 starts = np.concatenate([[0], ends[:-1]])
                 marks = np.frombuffer(b"".join(blobs or []), _MARK)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import need
-from siltstone.session import settle, table
+from siltstone.session import settle, small, table
 
 #: Bytes of a chunk: at least, on average beyond that, and at most.
 LEAST, AVERAGE, MOST = 512, 2048, 16384
@@ -120,9 +120,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *,
         named = placed.join(variants, ["id", "chunk"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_v"))
         fixed = F.transform("recipe", lambda x, i: F.concat(x, F.coalesce(F.element_at("_v", i), F.lit(0)).cast("string").cast("binary")))
         recipes = settle(recipes.join(named, "_row", "left").withColumn("recipe", F.when(F.col("_v").isNull(), F.transform("recipe", lambda x: F.concat(x, F.lit("0").cast("binary")))).otherwise(fixed)).drop("_v"))
-    groups = recipes.groupBy(F.col("recipe").alias("_recipe")).agg(F.count("*").alias("group_size"), F.max(F.struct("_id", "_row")).alias("_best"))
-    out = recipes.join(groups, F.col("recipe") == F.col("_recipe"))  # a hot recipe is a skewed join, which adaptive execution splits
-    return out.select(F.col("_id").alias(id_col), F.col("_best._id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), F.size("recipe").alias("n_chunks"), "text_sha256")
+    groups = recipes.groupBy(F.col("recipe").alias("_recipe")).agg(F.count("*").alias("_size"), F.max(F.struct("_id", "_row")).alias("_best"))
+    groups = settle(groups.where("_size > 1"))  # a recipe that one document has needs no partner
+    out = recipes.join(small(groups), F.col("recipe") == F.col("_recipe"), "left")  # beyond the bound both sides are plain tables, so that adaptive execution splits a hot recipe
+    best = F.coalesce("_best", F.struct("_id", "_row"))
+    return out.select(F.col("_id").alias(id_col), best["_id"].alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), (F.col("_row") == best["_row"]).alias("kept"), F.size("recipe").alias("n_chunks"), "text_sha256")
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Of the k-gram hashes in each window of a benchmark item the smallest is kept as the window's fingerprint, with its
 offset. A document's fingerprint is a k-gram whose hash is the smallest of some window of the same length, so every span
 as long as a window that both hold gives the same fingerprint in both. Fingerprints are joined, and a hit is extended to
-the whole window and compared word by word. Documents' fingerprints are first tested against a bitmap of fixed size made
+the whole window and compared word by word. Documents' fingerprints are first tested against a bitmap of bounded size made
 of the items', so that few of them become rows; words of the neighbourhood travel with them, whole documents never.
 """
 
@@ -19,8 +19,8 @@ from siltstone.session import settle, small, table
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a window and of a k-gram.
 WINDOW, GRAM = 10, 5
-#: Bits of the bitmap, whatever the number of items: 128 KB in the plan.
-BITMAP = 1 << 20
+#: Bits of the bitmap: 16 for each fingerprint, within these bounds (1 MB in the plan at most). A fuller bitmap only lets more k-grams through to the join.
+BITS, FEWEST, MOST = 16, 1 << 16, 1 << 23
 
 
 def words_of(text: str) -> Column:
@@ -54,14 +54,16 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int, gram: i
     return rows.groupBy("_h", "_back", "_window").agg(F.collect_set("_item").alias("_items"))
 
 
-def bitmap(windows: DataFrame) -> Column:
-    """BITMAP bits as an array of longs in the plan; a hash's bit is set if a window has it."""
-    slot = F.expr(f"pmod(_h, {BITMAP})")
+def bitmap(windows: DataFrame) -> tuple[Column, int]:
+    """Bits as an array of longs in the plan, and their number, a power of two; a hash's bit is set if a window has it."""
+    wanted = BITS * windows.select("_h").distinct().count()
+    n = min(MOST, max(FEWEST, 1 << (wanted - 1).bit_length() if wanted else 0))
+    slot = F.pmod(F.col("_h"), F.lit(n))
     bits = windows.select(slot.alias("b")).groupBy(F.shiftright("b", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
-    filled = [0] * (BITMAP // 64)
-    for r in bits.collect():  # BITMAP / 64 rows at most
+    filled = [0] * (n // 64)
+    for r in bits.collect():  # MOST / 64 rows at most
         filled[r["i"]] = r["bits"]
-    return F.from_json(F.lit(str(filled)), "array<bigint>")
+    return F.from_json(F.lit(str(filled)), "array<bigint>"), n
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, window: int = WINDOW, gram: int = GRAM, carry: dict[str, Column] | None = None) -> DataFrame:
@@ -74,12 +76,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     need(items, item_id, item_text)
     windows = settle(item_windows(items, item_id, item_text, window, gram))
     lengths = [r[0] for r in windows.select(F.size("_window").alias("n")).where(F.col("n") < window).distinct().collect()]  # under `window` rows
-    bits, extra = bitmap(windows), carry or {}
+    (bits, size), extra = bitmap(windows), carry or {}
     slim = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), words_of(text).alias("_w"), *[c.alias(n) for n, c in extra.items()])
     slim = slim.withColumn("_g", gram_hashes(F.col("_w"), gram))
 
     def known(h: Column) -> Column:
-        b = F.pmod(h, F.lit(BITMAP))
+        b = F.pmod(h, F.lit(size))
         return F.get(bits, F.shiftright(b, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), b.bitwiseAND(F.lit(63)).cast("int"))) != 0
 
     def least_somewhere(i: Column, h: Column) -> Column:
@@ -114,11 +116,11 @@ def hit_words(spans: str = "spans") -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs, all columns, without the rows that hold a window of an item. Rows are told apart by id and text."""
-    key = fresh(docs, "_text")
+    key, bad_id, bad_text = fresh(docs, "_text"), fresh(docs, "_bad"), fresh(docs, "_bad_text")
     marked = contamination(docs, items, id_col, text, carry={key: F.md5(F.coalesce(F.col(text), F.lit("")))}, **options)
-    bad = settle(marked.where(F.size("spans") > 0).select(F.col(id_col).alias("_bad"), F.col(key).alias("_bad_text")).distinct())
+    bad = settle(marked.where(F.size("spans") > 0).select(F.col(id_col).alias(bad_id), F.col(key).alias(bad_text)).distinct())
     own = F.md5(F.coalesce(docs[text], F.lit("")))
-    return docs.join(small(bad), docs[id_col].eqNullSafe(F.col("_bad")) & (own == F.col("_bad_text")), "left_anti")
+    return docs.join(small(bad), docs[id_col].eqNullSafe(F.col(bad_id)) & (own == F.col(bad_text)), "left_anti")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -29,8 +29,8 @@ def tokens_of(line: str) -> Column:
     return F.filter(F.split(F.col(line), " "), lambda t: t != "")
 
 
-def lines_of(docs: DataFrame, id_col: str, text: str, depth: int) -> DataFrame:
-    """_id, _doc (hash of the text), _at (number of the line, from 0), _line (masked, blanks single), _same (hash of the line as it stands, blanks single), _short, _leaf (null below TOKENS). Blank lines give no row. Lines with neither a digit nor white space to replace skip the patterns, and no line is cut into all its tokens."""
+def lines_of(docs: DataFrame, id_col: str, text: str, depth: int, tokens: int, chars: int) -> DataFrame:
+    """_id, _doc (hash of the text), _at (number of the line, from 0), _line (masked, blanks single), _same (hash of the line as it stands, blanks single), _short, _leaf (null below `tokens`). Blank lines give no row. Lines with neither a digit nor white space to replace skip the patterns, and no line is cut into all its tokens."""
     whole = F.coalesce(F.col(text), F.lit(""))
     split = docs.select(F.col(id_col).alias("_id"), F.xxhash64(whole).alias("_doc"), F.posexplode(F.split(whole, "\n", -1)).alias("_at", "_raw"))
     # the look-behind starts matches at tokens only, so that a very long token is read once
@@ -40,13 +40,13 @@ def lines_of(docs: DataFrame, id_col: str, text: str, depth: int) -> DataFrame:
     lines = flat.select("_id", "_doc", "_at", F.when(F.regexp_like("_flat", F.lit("[0-9]")), masked).otherwise(F.col("_flat")).alias("_line"), F.length("_flat").alias("_chars"), F.xxhash64(F.lit("="), "_flat").alias("_same"))
     size = F.length("_line") - F.length(F.replace(F.col("_line"), F.lit(" "), F.lit(""))) + 1
     sized = lines.where(F.col("_line") != "").withColumn("_size", size)
-    leaf = F.when(F.col("_size") >= TOKENS, F.xxhash64("_size", F.substring_index("_line", " ", depth)))
-    return sized.select("_id", "_doc", "_at", "_line", "_same", ((F.col("_size") < TOKENS) & (F.col("_chars") < CHARS)).alias("_short"), leaf.alias("_leaf"))
+    leaf = F.when(F.col("_size") >= tokens, F.xxhash64("_size", F.substring_index("_line", " ", depth)))
+    return sized.select("_id", "_doc", "_at", "_line", "_same", ((F.col("_size") < tokens) & (F.col("_chars") < chars)).alias("_short"), leaf.alias("_leaf"))
 
 
-def recurring_lines(docs: DataFrame, id_col: str, text: str, depth: int, texts: int, fixed: float, verbatim: int, short: int) -> DataFrame:
+def recurring_lines(docs: DataFrame, id_col: str, text: str, depth: int, texts: int, fixed: float, verbatim: int, tokens: int, chars: int, short: int) -> DataFrame:
     """_id, _doc, _lines: the numbers of the lines that recur as they stand, or whose template recurs."""
-    lines = lines_of(docs, id_col, text, depth)
+    lines = lines_of(docs, id_col, text, depth, tokens, chars)
     hashes = settle(lines.select("_id", "_doc", "_at", "_same", "_short", "_leaf"))  # no text: lines are parsed once more only for recurring leaves
     equal = settle(hashes.select("_same", "_short", "_doc").distinct().groupBy("_same", "_short").count().where(F.col("count") >= F.when(F.col("_short"), short).otherwise(verbatim)).select(F.col("_same").alias("_s")))
     same = hashes.join(small(equal), F.col("_same") == F.col("_s"), "left_semi").select("_id", "_doc", "_at")
@@ -67,16 +67,16 @@ def recurring_lines(docs: DataFrame, id_col: str, text: str, depth: int, texts:
     return drop.groupBy("_id", "_doc").agg(F.collect_set("_at").alias("_lines"))
 
 
-def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, depth: int = DEPTH, texts: int = TEXTS, fixed: float = FIXED, verbatim: int = VERBATIM, short: int = SHORT) -> DataFrame:
+def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, depth: int = DEPTH, texts: int = TEXTS, fixed: float = FIXED, verbatim: int = VERBATIM, tokens: int = TOKENS, chars: int = CHARS, short: int = SHORT) -> DataFrame:
     """Each row of docs as id, kept_text, n_lines, n_dropped.
 
     Lines end at \\n. Copies of a whole text count once, so that a text's own copies do not make its lines recur. Null
-    texts count as empty, with one empty line. Lines of fewer than TOKENS tokens and CHARS characters must
-    recur in `short` texts; blank lines stay. Repeated rows are treated alike and
+    texts count as empty, with one empty line. Lines of fewer than `tokens` tokens are no templates, and
+    those of fewer than `chars` characters too must recur in `short` texts as they stand; blank lines stay. Repeated rows are treated alike and
     each gives a row; null ids are ids like others. An empty table gives no row. Other columns of docs are not read.
     """
     need(docs, id_col, text)
-    found = settle(recurring_lines(docs, id_col, text, depth, texts, fixed, verbatim, short)).select(F.col("_id").alias("_i"), F.col("_doc").alias("_d"), "_lines")
+    found = settle(recurring_lines(docs, id_col, text, depth, texts, fixed, verbatim, tokens, chars, short)).select(F.col("_id").alias("_i"), F.col("_doc").alias("_d"), "_lines")
     own = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_doc", F.xxhash64("_text"))
     out = own.join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_doc") == F.col("_d")), "left")
     lines = F.split("_text", "\n", -1)

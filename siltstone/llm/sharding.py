@@ -60,9 +60,10 @@ def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text:
 def shard_rows_whole(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text: str = "text", source: str = "source", *, seed: str = "shard") -> DataFrame:
     """docs, all columns, with shard and slot. The text moves once, to rows that are told apart by a number in docs."""
     row, own = fresh(docs, "_row"), docs.drop("shard", "slot")
+    key = fresh(docs, f"{row}_placed")
     placed = shard_rows(docs, shards, id_col, text, source, carry={row: F.monotonically_increasing_id()}, seed=seed)
-    placed = settle(placed.select(F.col(row).alias("_placed"), "shard", "slot"))
-    return own.withColumn(row, F.monotonically_increasing_id()).join(placed, F.col(row) == F.col("_placed")).drop(row, "_placed")
+    placed = settle(placed.select(F.col(row).alias(key), "shard", "slot"))
+    return own.withColumn(row, F.monotonically_increasing_id()).join(placed, F.col(row) == F.col(key)).drop(row, key)
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from siltstone.session import release, settle, small, table
 WORDS, PERCENT = 5, 80
 #: Classes in a block of the product, columns multiplied at once, classes per partition of the shared n-grams' search,
 #: and members of a list that are compared at once.
-BLOCK, COLUMNS, PER_BUCKET, LIST = 256, 4096, 5000, 1024
+BLOCK, COLUMNS, PER_BUCKET, LIST = 256, 4096, 5000, 512
 #: Rows that a worker turns into sets at once, entries of sets that it multiplies at once, and nodes of which it joins edges.
 ROWS, ENTRIES, NODES = 256, 1 << 19, 1 << 20
 #: Bins of the counts that bound an overlap, by set size; larger numbers fold to smaller ones. Sets of n unrelated
@@ -349,7 +349,7 @@ def _edges(percent: int):
                 b = whole.slice(at, LIST)
                 lists = b.column("list").to_numpy()
                 last = int(np.searchsorted(lists, lists[-1]))  # where the last list begins; it may go on
-                if last and sum(x.num_rows for x in held) + last >= 4 * LIST:
+                if last and sum(x.num_rows for x in held) + last >= 8 * LIST:
                     stars.add(found([*held, b.slice(0, last)]))
                     held = [b.slice(last)]
                 else:
@@ -569,8 +569,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 def jaccard_stays(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs, all columns, with one row of each component and all rows without a set."""
     row = fresh(docs, "_row")
-    keep = settle(jaccard_components(docs, id_col, text, **options).where("stays").select(F.col("row").alias("_keep")))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(keep, F.col(row) == F.col("_keep"), "left_semi").drop(row)
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    own = fresh(numbered, "_keep")
+    keep = settle(jaccard_components(docs, id_col, text, **options).where("stays").select(F.col("row").alias(own)))
+    return numbered.join(keep, F.col(row) == F.col(own), "left_semi").drop(row)
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

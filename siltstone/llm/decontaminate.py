@@ -19,8 +19,8 @@ from siltstone.session import settle, small, table
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a window and of a k-gram.
 WINDOW, GRAM = 10, 5
-#: Bits of the bitmap: 16 for each fingerprint, within these bounds (1 MB in the plan at most). A fuller bitmap only lets more k-grams through to the join.
-BITS, FEWEST, MOST = 16, 1 << 16, 1 << 23
+#: Bits of the bitmap: for each fingerprint, at least, and at most (1 MB in the plan). A fuller bitmap only lets more k-grams through to the join.
+BITS, FEWEST, MOST = 128, 1 << 20, 1 << 23
 
 
 def words_of(text: str) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import need
-from siltstone.session import remove, settle, shared_dir, table
+from siltstone.session import remove, settle, shared_dir, small, table
 
 #: Compressed bytes after which a task begins another archive.
 ARCHIVE = 64 << 20
@@ -119,9 +119,10 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     """
     need(pages, page_id, url, html)
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col(page_id).cast("long").alias("_page"), F.col(url).alias("_url"), F.col(html).alias("_html"), F.sha2(body, 256).alias("_sha"), F.octet_length(body).alias("_n"))
-    best = settle(rows.groupBy("_sha", "_n").agg(F.max("_page").alias("_best"), F.count("*").alias("_rows")).where((F.col("_rows") > 1) & (F.col("_n") >= revisit_from)).select(F.col("_sha").alias("_s"), F.col("_n").alias("_m"), "_best"))
-    linked = rows.join(best, (F.col("_sha") == F.col("_s")) & (F.col("_n") == F.col("_m")), "left")  # a hot payload is a skewed join, which adaptive execution splits
+    rows = pages.select(F.col(page_id).cast("long").alias("_page"), F.col(url).alias("_url"), F.col(html).alias("_html"), F.unhex(F.sha2(body, 256)).alias("_sha"), F.octet_length(body).alias("_n"))
+    often = rows.groupBy("_sha", "_n").agg(F.max("_page").alias("_best"), F.count("*").alias("_rows")).where((F.col("_rows") > 1) & (F.col("_n") >= revisit_from))
+    best = settle(often.select(F.col("_sha").alias("_s"), F.col("_n").alias("_m"), "_best"))  # digests of repeated payloads alone
+    linked = rows.join(small(best), (F.col("_sha") == F.col("_s")) & (F.col("_n") == F.col("_m")), "left")  # beyond the bound a shuffle of plain tables, of which adaptive execution splits a hot payload
     refers = F.when(~F.col("_best").eqNullSafe(F.col("_page")), F.col("_best"))
     fs, path = opened(folder)
     fs.create_dir(path, recursive=True)
@@ -158,7 +159,8 @@ def read_warc(index: DataFrame, folder: str, *, gap: int = GAP, span: int = SPAN
                     rows.append((ids[0], headers.get("WARC-Target-URI"), kind, ids[1], told, size, payload.decode("utf-8") if payloads and kind == "response" else None))
                 yield pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return ranges(index, gap, span).mapInPandas(run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload string")
+    spread = max(2 * index.sparkSession.sparkContext.defaultParallelism, (index.agg(F.sum("length")).first()[0] or 0) // span)
+    return ranges(index, gap, span).repartition(spread).mapInPandas(run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload string")
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:

@@ -115,18 +115,29 @@ def test_chunks(spark):
     assert " ".join(c["text"] for c in got).split() == text.split() and all(len(c["text"]) <= 60 and c["text"][-1] in ".!?" for c in got)
 
 
-@pytest.mark.parametrize("line, fields", [("a,b", ["a", "b"]), ('"a,b",c', ["a,b", "c"]), ('"say ""hi""",x', ['say "hi"', "x"]), ("a,,b", ["a", "", "b"]), ("a,", ["a", ""]), ("", [""])])
-def test_csv(line, fields):
-    assert parse.csv_fields(line) == fields
+@pytest.mark.parametrize("line, fields", [("a,b", ["a", "b"]), ('"a,b",c', ["a,b", "c"]), ('"say ""hi""",x', ['say "hi"', "x"]), ("a,,b", ["a", "", "b"]), ("a,", ["a", ""]), ("", [""]), (",a", ["", "a"]), ('x"y,z"w,""', ["xy,zw", ""]), ('"open, to the end', ["open, to the end"]), ('a"b""c",d', ['ab"c', "d"])])
+def test_csv(spark, line, fields):
+    assert one(spark, parse.csv_fields(F.lit(line))) == fields
 
 
 def test_html_and_bytes():
     assert parse.html_text("<p>a&amp;b</p><script>x</script><td>1</td><td>2</td>") == "a&b\n1 2"
-    assert parse.hexdump(b"AB\x00")[0].startswith("00000000  41 42 00") and parse.hexdump(b"AB\x00")[0].endswith("AB.")
     head = b"RIFF" + bytes(4) + b"WAVE" + bytes(10) + (1).to_bytes(2, "little") + (16000).to_bytes(4, "little") + bytes(6) + (16).to_bytes(2, "little")
     assert parse.wav_header(head)["rate"] == 16000 != parse.wav_header(head, "big")["rate"]
 
 
+def test_byte_views(spark):
+    import struct
+
+    dump = lambda b: one(spark, parse.hexdump(F.lit(bytearray(b))))
+    assert dump(b"AB\x00") == ["00000000  41 42 00" + " " * 41 + " |AB.|"] and dump(b"") == []
+    assert dump(bytes(range(48, 65)))[0] == "00000000  30 31 32 33 34 35 36 37  38 39 3a 3b 3c 3d 3e 3f  |0123456789:;<=>?|" and dump(bytes(17))[1].startswith("00000010  00 ")
+    for x in (0.1, -2.5, 0.0, 5e-324, 1.7e308, float("inf")):
+        assert one(spark, parse.double_at(F.lit(bytearray(struct.pack("<d", x))))) == x
+    raw = F.lit(bytearray(b"\xfe\xff\xff\xff"))
+    assert (one(spark, parse.number_at(raw, 0, 4)), one(spark, parse.number_at(raw, 0, 4, little=False)), one(spark, parse.number_at(raw, 2, 4))) == (-2, -16777217, None)
+
+
 def test_pdf_streams():
     import zlib
 

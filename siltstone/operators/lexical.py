@@ -1,21 +1,24 @@
 """Scans, the inverted index, its statistics and lexical ranking.
 
-Queries are rows: all of them are scored in one plan. Only postings of query terms are counted, and a score is a
-partial aggregation by query and document.
+Queries are rows: all of them are scored in one plan. The postings of the terms that queries ask for are written once;
+statistics, document frequencies and scores are read from them. They are dealt by document, so that a document's scores
+are added up where its postings are read, and only sums by query and document move.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.catalog import query
 from siltstone.functions.text import STOPWORDS, picked, tokens, without_stopwords
-from siltstone.session import small, table
+from siltstone.session import settle, small, table
 
-#: Terms of a benchmark text that make its query.
-QUERY_TERMS = 8
 K1, B, TOP = 1.2, 0.75, 10
+#: Documents behind one posting list: a list longer than that is a row for each range of ids.
+RANGE = 1 << 16
 
 
 def passages(spark, sf_dir: str) -> DataFrame:
@@ -28,9 +31,9 @@ def worded(docs: DataFrame, stop: bool = False) -> DataFrame:
     return docs.select("doc_id", (without_stopwords(words) if stop else words).alias("words"))
 
 
-def queries_of(items: DataFrame, stop: bool = False, terms: int | None = QUERY_TERMS) -> DataFrame:
-    """qid, term, qtf: how often a query has a term; of the whole text without `terms`."""
-    words = F.slice(tokens("text"), 1, terms) if terms else tokens("text")
+def queries_of(items: DataFrame, stop: bool = False) -> DataFrame:
+    """qid, term, qtf: how often a query has a term. A query is a whole text."""
+    words = tokens("text")
     return items.select(F.col("item_id").alias("qid"), F.explode(without_stopwords(words) if stop else words).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
@@ -39,37 +42,67 @@ def postings(words: DataFrame) -> DataFrame:
     return words.select("doc_id", F.explode("words").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def lists(words: DataFrame, width: int = RANGE) -> DataFrame:
+    """term, part, ids: the documents of each term in order, a row for each range of `width` ids."""
+    rows = words.select(F.floor(F.col("doc_id") / width).alias("part"), "doc_id", F.explode(F.array_distinct("words")).alias("term"))
+    return rows.groupBy("term", "part").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+
+
+def joined(ids: Column) -> Column:
+    return F.array_join(ids.cast("array<string>"), ",")
+
+
 def corpus_stats(words: DataFrame) -> tuple[int, float]:
     """Documents, those without words too, and their mean length."""
     r = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl")).first()
     return r["n"], r["avgdl"] or 0.0
 
 
-def matched(words: DataFrame, asked: DataFrame) -> DataFrame:
+class Index(NamedTuple):
+    """What scoring reads: doc_id, dl, term, tf of the terms that queries ask for; qid, term, qtf, df; documents and their mean length."""
+
+    postings: DataFrame
+    asked: DataFrame
+    n: int
+    avgdl: float
+
+
+def indexed(words: DataFrame, asked: DataFrame) -> Index:
+    """The index for some queries, from one pass over the documents. Each document's length is kept under the empty term."""
+    asked = settle(asked)
+    terms = asked.select("term").union(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    each = words.select("doc_id", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = each.join(small(settle(terms)), "term", "left_semi").repartition(parts, "doc_id")
+    rows = settle(near.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
+    r = rows.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    own = rows.where("term != ''")
+    return Index(own, settle(asked.join(own.groupBy("term").agg(F.count("*").alias("df")), "term")), r["n"], r["avgdl"] or 0.0)
+
+
+def matched(index: Index) -> DataFrame:
     """qid, doc_id, term, qtf, tf, df, dl for the terms that queries ask for."""
-    terms = small(asked.select("term").distinct())
-    hit = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(terms, "term", "left_semi")
-    own = hit.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
-    return own.join(small(asked.join(df, "term")), "term")
+    return index.postings.join(small(index.asked), "term")
 
 
-def bm25(words: DataFrame, asked: DataFrame, k1: float = K1, b: float = B, distinct: bool = False) -> DataFrame:
-    n, avgdl = corpus_stats(words)
-    times = F.lit(1.0) if distinct else F.col("qtf")
-    idf = F.ln(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
-    return matched(words, asked).groupBy("qid", "doc_id").agg(F.round(F.sum(times * idf * weight), 6).alias("score"))
+def idf_of(n: int) -> Column:
+    return F.ln(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
-def tfidf(words: DataFrame, asked: DataFrame) -> DataFrame:
-    n, _ = corpus_stats(words)
-    part = F.col("qtf") * (1 + F.ln("tf")) * F.ln(F.lit(float(n)) / F.col("df"))
-    return matched(words, asked).groupBy("qid", "doc_id", "dl").agg((F.sum(part)).alias("s")).select("qid", "doc_id", F.round(F.col("s") / F.sqrt("dl"), 6).alias("score"))
+def bm25(index: Index, k1: float = K1, b: float = B, distinct: bool = False) -> DataFrame:
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl or 1.0)))
+    asked = index.asked.select("qid", "term", ((F.lit(1.0) if distinct else F.col("qtf")) * idf_of(index.n)).alias("_x"))
+    rows = index.postings.select("doc_id", "term", weight.alias("_y")).join(small(asked), "term")
+    return rows.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("_x") * F.col("_y")), 6).alias("score"))
 
 
-def term_counts(words: DataFrame, asked: DataFrame) -> DataFrame:
-    return matched(words, asked).groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * F.col("tf")).alias("score"))
+def tfidf(index: Index) -> DataFrame:
+    part = F.col("qtf") * (1 + F.ln("tf")) * F.ln(F.lit(float(index.n)) / F.col("df"))
+    return matched(index).groupBy("qid", "doc_id", "dl").agg((F.sum(part)).alias("s")).select("qid", "doc_id", F.round(F.col("s") / F.sqrt("dl"), 6).alias("score"))
+
+
+def term_counts(index: Index) -> DataFrame:
+    return matched(index).groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * F.col("tf")).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int = TOP) -> DataFrame:
@@ -78,14 +111,33 @@ def top_k(scores: DataFrame, k: int = TOP) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def judgments(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """qid and doc_id of the documents that hold a benchmark text."""
+def judgments(docs: DataFrame, items: DataFrame, gram: int = 3) -> DataFrame:
+    """qid and doc_id of the documents that hold a benchmark text.
+
+    Where an item stands in a document, its words but the first and the last are words of the document. So documents
+    are looked up by the hash of up to `gram` neighbouring words within the item, and only those found are searched.
+    Items of one or two words have none and are searched in all documents.
+    """
     asked = items.where(F.length("text") > 0).select(F.col("item_id").alias("qid"), F.col("text").alias("wanted"))
-    return docs.join(small(asked, 10_000), F.contains(docs["text"], F.col("wanted"))).select("qid", "doc_id")
+    words = lambda c: F.split(c, " ")
+    hashed = lambda w, i, k: F.xxhash64(F.lit(k), F.array_join(F.slice(w, i, F.lit(k)), " "))
+    keyed = settle(asked.select("qid", "wanted", words("wanted").alias("_w")).select("qid", "wanted", "_w", F.least(F.size("_w") - 2, F.lit(gram)).alias("_k")))
+    found = keyed.where("_k < 1").select("qid", "wanted")
+    out = docs.join(small(found), F.contains(docs["text"], F.col("wanted"))).select("qid", "doc_id") if not found.isEmpty() else None
+    for k in [r["_k"] for r in keyed.where("_k > 0").select("_k").distinct().collect()]:  # `gram` numbers at most
+        keys = keyed.where(F.col("_k") == k).select("qid", hashed(F.col("_w"), F.lit(2), k).alias("_h"))
+        own = docs.select("doc_id", words("text").alias("_w"))
+        places = F.when(F.size("_w") >= k, F.sequence(F.lit(1), F.greatest(F.size("_w") - k + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        grams = own.select("doc_id", F.explode(F.array_distinct(F.transform(places, lambda i: hashed(F.col("_w"), i, k)))).alias("_h"))
+        near = settle(grams.join(small(keys), "_h").select("qid", "doc_id").distinct())
+        wanted = near.join(small(keyed.select("qid", "wanted")), "qid")
+        part = docs.join(wanted, "doc_id").where(F.contains("text", F.col("wanted"))).select("qid", "doc_id")
+        out = part if out is None else out.unionAll(part)
+    return out if out is not None else docs.join(small(found), F.lit(False)).select("qid", "doc_id")
 
 
 def _both(spark, sf_dir, stop=False):
-    return worded(passages(spark, sf_dir), stop), queries_of(table(spark, sf_dir, "benchmark"), stop)
+    return indexed(worded(passages(spark, sf_dir), stop), queries_of(table(spark, sf_dir, "benchmark"), stop))
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -93,13 +145,12 @@ _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 def _base(stop: bool = False) -> str:
     words = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
-    first = f"({words})[1:{QUERY_TERMS}]"
     drop = (lambda x: f"list_filter({x}, lambda w: w NOT IN ({_STOP}))") if stop else (lambda x: x)
     return f"""WITH d AS (SELECT doc_id, {drop(words)} AS w FROM documents),
 p AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
-q AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest({drop(first)}) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest({drop(words)}) AS term FROM benchmark) GROUP BY ALL),
 m AS (SELECT qid, p.doc_id, term, qtf, tf, df, len(d.w) AS dl, n, avgdl FROM q JOIN p USING (term) JOIN f USING (term) JOIN d ON d.doc_id = p.doc_id, s)"""
 
 
@@ -128,17 +179,16 @@ def scan_substring(spark, sf_dir, word="then"):
     return passages(spark, sf_dir).where(F.contains(F.lower("text"), F.lit(word.lower()))).select("doc_id")
 
 
-@query("inverted_index", f"{_base()} SELECT term, count(*) AS df, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM p GROUP BY term")
+@query("inverted_index", f"{_base()} SELECT term, doc_id // {RANGE} AS part, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM p GROUP BY ALL")
 def inverted_index(spark, sf_dir):
-    lists = worded(passages(spark, sf_dir)).select("doc_id", F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return lists.select("term", F.size("ids").cast("long").alias("df"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("doc_ids"))
+    """The list of each term, cut by ranges of ids, so that no row grows with the corpus."""
+    return lists(worded(passages(spark, sf_dir))).select("term", "part", F.size("ids").cast("long").alias("n"), joined(F.col("ids")).alias("doc_ids"))
 
 
 @query("index_stats", f"{_base()} SELECT (SELECT n FROM s) AS documents, count(DISTINCT term) AS vocabulary, count(*) AS postings, sum(tf)::BIGINT AS tokens, round(count(*) / (SELECT n FROM s)::DOUBLE, 6) AS postings_per_passage, (8 * count(*) + (SELECT sum(strlen(term)) FROM f))::BIGINT AS index_bytes FROM p")
 def index_stats(spark, sf_dir):
-    words = worded(passages(spark, sf_dir))
-    n, _ = corpus_stats(words)
-    by_term = postings(words).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    by_term = postings(worded(passages(spark, sf_dir))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    n = passages(spark, sf_dir).count()
     return by_term.agg(F.lit(n).cast("long").alias("documents"), F.count("*").alias("vocabulary"), F.sum("df").alias("postings"), F.sum("cf").alias("tokens"), F.round(F.sum("df") / F.lit(float(n)), 6).alias("postings_per_passage"), (8 * F.sum("df") + F.sum(F.octet_length("term"))).alias("index_bytes"))
 
 
@@ -171,17 +221,17 @@ def upper_bounds(spark, sf_dir):
 
 @query("term_counts", f"{_base()} SELECT qid, doc_id, sum(qtf * tf)::BIGINT AS score FROM m GROUP BY ALL")
 def q_term_counts(spark, sf_dir):
-    return term_counts(*_both(spark, sf_dir))
+    return term_counts(_both(spark, sf_dir))
 
 
 @query("tfidf", f"{_base()} SELECT qid, doc_id, round(sum(qtf * (1e0 + ln(tf)) * ln(n / df::DOUBLE)) / sqrt(dl), 6) AS score FROM m GROUP BY qid, doc_id, dl")
 def q_tfidf(spark, sf_dir):
-    return tfidf(*_both(spark, sf_dir))
+    return tfidf(_both(spark, sf_dir))
 
 
 def _register_bm25() -> None:
     for name, options, stop in (("bm25", {}, False), ("bm25_distinct", {"distinct": True}, False), ("bm25_k1", {"k1": 2.5}, False), ("bm25_b0", {"b": 0.0}, False), ("bm25_b1", {"b": 1.0}, False), ("bm25_nostop", {}, True)):
-        query(name, _bm25_sql(stop=stop, **options))(lambda spark, sf_dir, options=options, stop=stop: bm25(*_both(spark, sf_dir, stop), **options))
+        query(name, _bm25_sql(stop=stop, **options))(lambda spark, sf_dir, options=options, stop=stop: bm25(_both(spark, sf_dir, stop), **options))
 
 
 _register_bm25()
@@ -189,24 +239,24 @@ _register_bm25()
 
 @query("bm25_topk_per_query", _ranked_sql(_bm25_sql()))
 def bm25_topk_per_query(spark, sf_dir):
-    return top_k(bm25(*_both(spark, sf_dir)))
+    return top_k(bm25(_both(spark, sf_dir)))
 
 
 @query("taat_topk", _ranked_sql(_bm25_sql(distinct=True)))
 def taat_topk(spark, sf_dir):
     """Term at a time: contributions of distinct terms are added up, the k best stay."""
-    return top_k(bm25(*_both(spark, sf_dir), distinct=True))
+    return top_k(bm25(_both(spark, sf_dir), distinct=True))
 
 
 @query("matched_docs", f"{_base()} SELECT qid, count(DISTINCT doc_id) AS matched, count(*) AS touched FROM m GROUP BY qid")
 def matched_docs(spark, sf_dir):
-    return matched(*_both(spark, sf_dir)).groupBy("qid").agg(F.count_distinct("doc_id").alias("matched"), F.count("*").alias("touched"))
+    return matched(_both(spark, sf_dir)).groupBy("qid").agg(F.count_distinct("doc_id").alias("matched"), F.count("*").alias("touched"))
 
 
 @query("stopword_share", f"{_base()}, t AS (SELECT qid, sum(qtf * tf) AS total, coalesce(sum(qtf * tf) FILTER (term IN ({_STOP})), 0) AS stop FROM m GROUP BY qid) SELECT count(*) AS queries, round(avg(stop / total::DOUBLE), 6) AS share FROM t WHERE total > 0")
 def stopword_share(spark, sf_dir):
     weight = F.col("qtf") * F.col("tf")
-    each = matched(*_both(spark, sf_dir)).groupBy("qid").agg(F.sum(weight).alias("total"), F.sum(F.when(F.col("term").isin(STOPWORDS), weight).otherwise(0)).alias("stop"))
+    each = matched(_both(spark, sf_dir)).groupBy("qid").agg(F.sum(weight).alias("total"), F.sum(F.when(F.col("term").isin(STOPWORDS), weight).otherwise(0)).alias("stop"))
     return each.where("total > 0").agg(F.count("*").alias("queries"), F.round(F.avg(F.col("stop") / F.col("total")), 6).alias("share"))
 
 
@@ -223,15 +273,15 @@ def len_dist(spark, sf_dir):
 
 @query("postings_per_query", f"{_base()}, t AS (SELECT qid, sum(df)::BIGINT AS c FROM (SELECT DISTINCT qid, term, df FROM m) GROUP BY qid), l AS (SELECT list_sort(list(c)) AS a FROM t) SELECT len(a) AS queries, a[len(a) // 2 + 1] AS median, a[len(a)] AS most FROM l")
 def postings_per_query(spark, sf_dir):
-    each = matched(*_both(spark, sf_dir)).groupBy("qid").agg(F.count("*").alias("c"))
+    each = matched(_both(spark, sf_dir)).groupBy("qid").agg(F.count("*").alias("c"))
     return each.agg(F.count("*").alias("queries"), picked(F.col("c"), "0.5D").alias("median"), F.max("c").alias("most"))
 
 
 @query("length_bias", "\nUNION ALL\n".join(f"SELECT '{name}' AS scorer, round(avg(len(regexp_extract_all(lower(text), '[a-z0-9]+'))), 6) AS mean_len FROM ({_ranked_sql(sql)}) JOIN documents USING (doc_id)" for name, sql in (("counts", f"{_base()} SELECT qid, doc_id, sum(qtf * tf)::BIGINT AS score FROM m GROUP BY ALL"), ("tfidf", f"{_base()} SELECT qid, doc_id, round(sum(qtf * (1e0 + ln(tf)) * ln(n / df::DOUBLE)) / sqrt(dl), 6) AS score FROM m GROUP BY qid, doc_id, dl"), ("bm25", _bm25_sql()))))
 def length_bias(spark, sf_dir):
-    words, asked = _both(spark, sf_dir)
-    lens = words.select("doc_id", F.size("words").alias("dl"))
-    parts = [top_k(f(words, asked)).join(lens, "doc_id").agg(F.lit(name).alias("scorer"), F.round(F.avg("dl"), 6).alias("mean_len")) for name, f in (("counts", term_counts), ("tfidf", tfidf), ("bm25", bm25))]
+    index = _both(spark, sf_dir)
+    lens = index.postings.select("doc_id", "dl").distinct()
+    parts = [top_k(f(index)).join(lens, "doc_id").agg(F.lit(name).alias("scorer"), F.round(F.avg("dl"), 6).alias("mean_len")) for name, f in (("counts", term_counts), ("tfidf", tfidf), ("bm25", bm25))]
     return parts[0].union(parts[1]).union(parts[2])
 
 

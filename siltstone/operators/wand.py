@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.catalog import query
-from siltstone.operators.lexical import B, K1, TOP, _bm25_sql, _ranked_sql, corpus_stats, matched, passages, queries_of, top_k, worded
-from siltstone.session import table
+from siltstone.operators.lexical import B, K1, TOP, Index, _both, _bm25_sql, _ranked_sql, idf_of, matched, top_k
 
 #: Documents of a range.
 RANGE = 50_000
@@ -50,12 +49,10 @@ def pruned_topk(lists: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[lis
     return [(d, s) for s, d in best], scored
 
 
-def wand_topk(words: DataFrame, asked: DataFrame, k: int = TOP, width: int = RANGE) -> DataFrame:
+def wand_topk(index: Index, k: int = TOP, width: int = RANGE) -> DataFrame:
     """qid, doc_id, score, rank by BM25 over distinct terms."""
-    n, avgdl = corpus_stats(words)
-    idf = F.ln(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0)))
-    rows = matched(words, asked).select("qid", F.floor(F.col("doc_id") / width).alias("part"), "term", "doc_id", part.alias("c"))
+    part = idf_of(index.n) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl or 1.0)))
+    rows = matched(index).select("qid", F.floor(F.col("doc_id") / width).alias("part"), "term", "doc_id", part.alias("c"))
     packed = rows.groupBy("qid", "part", "term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "c"))).alias("p"))  # at most `width` documents
     lists = packed.groupBy("qid", "part").agg(F.collect_list(F.struct(F.col("p.doc_id").alias("ids"), F.col("p.c").alias("cs"))).alias("lists"))
 
@@ -72,4 +69,4 @@ def wand_topk(words: DataFrame, asked: DataFrame, k: int = TOP, width: int = RAN
 
 @query("wand_topk", _ranked_sql(_bm25_sql(distinct=True)))
 def q_wand_topk(spark, sf_dir):
-    return wand_topk(worded(passages(spark, sf_dir)), queries_of(table(spark, sf_dir, "benchmark"))).select("qid", "doc_id", "score", "rank")
+    return wand_topk(_both(spark, sf_dir)).select("qid", "doc_id", "score", "rank")

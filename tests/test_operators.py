@@ -86,11 +86,20 @@ def test_fusion(spark):
 def test_repeated_query_terms_count_twice_unless_distinct(spark):
     words = lexical.worded(docs_of(spark, ["block device", "block block the", "the", ""]))
     asked = spark.createDataFrame([(1, "block", 2)], "qid int, term string, qtf int")
-    twice, once = (lexical.bm25(words, asked, distinct=d).orderBy("doc_id").collect() for d in (False, True))
+    twice, once = (lexical.bm25(lexical.indexed(words, asked), distinct=d).orderBy("doc_id").collect() for d in (False, True))
     assert [round(a["score"] / b["score"], 4) for a, b in zip(twice, once, strict=True)] == [2, 2]
     assert lexical.corpus_stats(words)[0] == 4
 
 
+def test_judgments_find_every_place(spark):
+    docs = docs_of(spark, ["one two three four five", "xone two three fourx", "two three", "five", "a one  two", None, ""])
+    items = spark.createDataFrame([(1, "one two three four"), (2, "two three"), (3, "five"), (4, "one  two"), (5, ""), (6, "e two three f")], "item_id int, text string")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    want = {(q, d) for q, t in ((r["item_id"], r["text"]) for r in items.collect()) if t for d, x in texts.items() if t in x}
+    got = [tuple(r) for r in lexical.judgments(docs, items).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_pruned_topk_equals_all(spark):
     import numpy as np
 

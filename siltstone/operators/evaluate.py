@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from siltstone.catalog import query
 from siltstone.functions import text as T
 from siltstone.operators.lexical import passages
 from siltstone.session import table
+from siltstone.sources.files import crossings
 
 
 @query("chunk_fixed", "SELECT doc_id, s AS start, s + length(c) AS end_, md5(c) AS digest FROM (SELECT doc_id, s, substr(text, s + 1, 500) AS c FROM (SELECT doc_id, text, unnest(range(0, length(text), 400)) AS s FROM documents)) WHERE trim(c, ' \t\n\r') <> ''")
@@ -39,7 +43,9 @@ def q_straddling(spark, sf_dir):
     return straddling(passages(spark, sf_dir))
 
 
-@query("chunk_stats")
+@query("chunk_stats", r"""WITH c AS (SELECT doc_id, s, substr(text, s + 1, 500) AS c FROM (SELECT doc_id, text, unnest(range(0, length(text), 400)) AS s FROM documents) WHERE trim(substr(text, s + 1, 500), ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+b AS (SELECT doc_id, s, substr(text, s, 1) AS l, substr(text, s + 1, 1) AS r FROM c JOIN documents USING (doc_id) WHERE s > 0)
+SELECT count(*) AS chunks, round(avg(length(c)), 6) AS mean_len, (SELECT count(*) FROM b WHERE regexp_matches(l, '\S') AND regexp_matches(r, '\S')) AS broken, round((SELECT count(*) FROM b WHERE regexp_matches(l, '\S') AND regexp_matches(r, '\S')) / count(*)::DOUBLE, 6) AS share FROM c""")
 def chunk_stats(spark, sf_dir):
     chunks = T.chunk_fixed(passages(spark, sf_dir)).agg(F.count("*").alias("chunks"), F.round(F.avg(F.length("chunk")), 6).alias("mean_len"))
     broken = q_straddling(spark, sf_dir).agg(F.count("*").alias("broken"))
@@ -127,15 +133,22 @@ def accuracy_by_kind(spark, sf_dir):
     return table(spark, sf_dir, "labels").groupBy(F.col("quality").alias("kind")).agg(F.round(F.avg((F.col("toxic") == 0).cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
-@query("agreement")
+def _same_sql() -> str:
+    from siltstone.operators.lexical import _bm25_sql, _ranked_sql
+
+    lists = [f"SELECT qid, list(doc_id ORDER BY rank) AS x, list(score ORDER BY rank) AS s FROM ({_ranked_sql(_bm25_sql(distinct=d))}) GROUP BY qid" for d in (False, True)]
+    return f"SELECT count(*) AS queries, round(avg((a.x = b.x)::INT), 6) AS same_order, round(avg((list_sort(a.x) = list_sort(b.x))::INT), 6) AS same_set, round(max(abs(a.s[1] - b.s[1])), 6) AS gap FROM ({lists[0]}) a JOIN ({lists[1]}) b USING (qid)"
+
+
+@query("agreement", _same_sql())
 def agreement(spark, sf_dir):
-    """Share of queries for which two ways of ranking give the same order and the same set."""
+    """Share of queries for which two ways of ranking give the same order and the same set, and the largest gap of their best scores."""
     from siltstone.operators.lexical import bm25_topk_per_query, taat_topk
 
-    lists = [f(spark, sf_dir).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda s: s["doc_id"]).alias(n)) for f, n in ((bm25_topk_per_query, "a"), (taat_topk, "b"))]
+    lists = [f(spark, sf_dir).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda s: s["doc_id"]).alias(n), F.max("score").alias(f"{n}_best")) for f, n in ((bm25_topk_per_query, "a"), (taat_topk, "b"))]
     both = lists[0].join(lists[1], "qid")
     same = lambda x, y: F.round(F.avg((x == y).cast("int")), 6)
-    return both.agg(F.count("*").alias("queries"), same(F.col("a"), F.col("b")).alias("same_order"), same(F.array_sort("a"), F.array_sort("b")).alias("same_set"))
+    return both.agg(F.count("*").alias("queries"), same(F.col("a"), F.col("b")).alias("same_order"), same(F.array_sort("a"), F.array_sort("b")).alias("same_set"), F.round(F.max(F.abs(F.col("a_best") - F.col("b_best"))), 6).alias("gap"))
 
 
 @query("gains", "WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT source, n, n - lag(n) OVER (ORDER BY source) AS gain, (max(n) OVER () - min(n) OVER ())::BIGINT AS spread FROM s")
@@ -161,3 +174,40 @@ def prompts(spark, sf_dir):
     """Passages under their source's name, in order, as one prompt."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     return rows.select("conv_id", F.md5(F.array_join(F.transform("t", lambda s: F.concat(F.lit("["), s["role"], F.lit("] "), s["text"])), "\n\n")).alias("prompt"))
+
+
+@query("buffer_crossings", "SELECT sum((strlen(text) + 4095) // 4096 + 1)::BIGINT AS small, sum((strlen(text) + 4194303) // 4194304 + 1)::BIGINT AS large, ((sum(strlen(text)) + 4095) // 4096 + 1)::BIGINT AS one_file_small, ((sum(strlen(text)) + 4194303) // 4194304 + 1)::BIGINT AS one_file_large FROM documents")
+def buffer_crossings(spark, sf_dir):
+    """Reads of all documents as files of their own and as one file, in pieces of 4 KB and 4 MB."""
+    n = F.octet_length("text")
+    own, one = ({"small": 4096, "large": 4 << 20}, {"one_file_small": 4096, "one_file_large": 4 << 20})
+    return passages(spark, sf_dir).agg(*[F.sum(crossings(n, b)).alias(k) for k, b in own.items()], *[crossings(F.sum(n), b).alias(k) for k, b in one.items()])
+
+
+def sequence_compare(a: str | None, b: str | None, context: int = 90) -> dict:
+    """How alike two texts are as sequences, and where they first differ: the kind, the place in the first and what either has there."""
+    match = difflib.SequenceMatcher(None, a or "", b or "")
+    out = {"ratio": match.ratio(), "kind": None, "at": None, "a": None, "b": None}
+    first = next((c for c in match.get_opcodes() if c[0] != "equal"), None)
+    if first:
+        kind, i, _, j, _ = first
+        squeeze = lambda t: " ".join(t.split())
+        out |= {"kind": kind, "at": i, "a": squeeze((a or "")[i : i + context]), "b": squeeze((b or "")[j : j + context])}
+    return out
+
+
+def compared(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """rows with compare: ratio, kind, at, a, b of sequence_compare."""
+
+    @F.pandas_udf("ratio double, kind string, at int, a string, b string")
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sequence_compare(*p) for p in zip(x, y, strict=True)], columns=["ratio", "kind", "at", "a", "b"]).astype({"at": "Int32"})
+
+    return rows.withColumn("compare", run(a, b))
+
+
+@query("title_differences")
+def title_differences(spark, sf_dir):
+    """Each page's heading against its title."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.regexp_extract("html", "<h1>([^<]*)", 1).alias("heading"))
+    return compared(pages, "title", "heading").select("page_id", F.round("compare.ratio", 6).alias("ratio"), "compare.kind", "compare.at")

@@ -271,10 +271,10 @@ def len_dist(spark, sf_dir):
     return run.agg(at((1, 10)).alias("p10"), at((1, 2)).alias("median"), at((9, 10)).alias("p90"), F.max("l").alias("longest"), F.round(F.sum(F.col("l") * F.col("c")) / F.sum("c"), 6).alias("mean"))
 
 
-@query("postings_per_query", f"{_base()}, t AS (SELECT qid, sum(df)::BIGINT AS c FROM (SELECT DISTINCT qid, term, df FROM m) GROUP BY qid), l AS (SELECT list_sort(list(c)) AS a FROM t) SELECT len(a) AS queries, a[len(a) // 2 + 1] AS median, a[len(a)] AS most FROM l")
+@query("postings_per_query", f"{_base()}, t AS (SELECT qid, sum(df)::BIGINT AS c FROM (SELECT DISTINCT qid, term, df FROM m) GROUP BY qid), l AS (SELECT list_sort(list(c)) AS a FROM t) SELECT len(a) AS queries, a[len(a) // 2 + 1] AS median, a[len(a) * 99 // 100 + 1] AS p99, a[len(a)] AS most FROM l")
 def postings_per_query(spark, sf_dir):
     each = matched(_both(spark, sf_dir)).groupBy("qid").agg(F.count("*").alias("c"))
-    return each.agg(F.count("*").alias("queries"), picked(F.col("c"), "0.5D").alias("median"), F.max("c").alias("most"))
+    return each.agg(F.count("*").alias("queries"), picked(F.col("c"), "0.5D").alias("median"), picked(F.col("c"), "0.99D").alias("p99"), F.max("c").alias("most"))
 
 
 @query("length_bias", "\nUNION ALL\n".join(f"SELECT '{name}' AS scorer, round(avg(len(regexp_extract_all(lower(text), '[a-z0-9]+'))), 6) AS mean_len FROM ({_ranked_sql(sql)}) JOIN documents USING (doc_id)" for name, sql in (("counts", f"{_base()} SELECT qid, doc_id, sum(qtf * tf)::BIGINT AS score FROM m GROUP BY ALL"), ("tfidf", f"{_base()} SELECT qid, doc_id, round(sum(qtf * (1e0 + ln(tf)) * ln(n / df::DOUBLE)) / sqrt(dl), 6) AS score FROM m GROUP BY qid, doc_id, dl"), ("bm25", _bm25_sql()))))

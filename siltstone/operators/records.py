@@ -264,3 +264,94 @@ def distinctive_answers(spark, sf_dir):
     text = F.concat(F.lit("Total due $"), F.format_number("o_totalprice", 2))
     found = F.contains(F.regexp_replace(text, "[$,]", ""), F.format_string("%.2f", "o_totalprice"))
     return table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_totalprice") >= 1000) & found).alias("distinctive"))
+
+
+def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orderkey, vendor, customer, total, status, text: each order printed as an invoice, its lines in order. A seventh of them, by key, have no status, an eleventh a broken total."""
+    cents = lambda c: F.concat(F.lit("$"), F.format_number(c, 2))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("at"), F.concat_ws("\n", F.concat(F.lit("Part "), F.col("l_partkey").cast("string")), F.col("l_quantity").cast("int").cast("string"), F.lit("ea"), cents(F.col("l_extendedprice") / F.col("l_quantity")), cents(F.col("l_extendedprice"))).alias("line"))
+    listed = lines.groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    inv, key = invoices(spark, sf_dir), F.col("invoice_id")
+    id_ = F.concat(F.lit("INV-"), key.cast("string"))
+    total = F.when(key % 11 == 0, F.lit("$?")).otherwise(cents(F.col("total")))
+    state = F.when(key % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("Status: "), "status"))
+    day = F.date_format("issue_date", "yyyy-MM-dd")
+    text = F.concat_ws("\n", "vendor", F.concat(F.lit("Invoice "), id_, F.lit(" for Ridgeline Analytics")), F.concat(day, F.lit(" "), day, F.lit(" Net 30 Purchase order PO-"), key.cast("string")), "lines", F.lit("Total due"), total, state)
+    return inv.join(listed, key == F.col("k"), "left").select(key.alias("orderkey"), F.col("vendor").alias("true_vendor"), F.col("total").alias("true_total"), F.col("status").alias("true_status"), text.alias("text"))
+
+
+def _read_back(spark, sf_dir) -> DataFrame:
+    """invoice_texts with the fields that extraction finds. Vendors are told by their own table, not by a list."""
+    return extract_records(invoice_texts(spark, sf_dir), [], ["Ridgeline Analytics"])
+
+
+@query("invoice_records", "SELECT o_orderkey AS orderkey, 'INV-' || o_orderkey AS invoice_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS total, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'paid' WHEN o_orderstatus = 'O' THEN 'open' ELSE 'overdue' END AS status, coalesce(n, 0) AS n_lines, quantity FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity)::BIGINT AS quantity FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def invoice_records(spark, sf_dir):
+    """Records read back from the invoices' texts."""
+    quantity = F.when(F.size("line_items") > 0, F.aggregate("line_items", F.lit(0).cast("long"), lambda a, x: a + x["quantity"]))
+    return _read_back(spark, sf_dir).select("orderkey", "invoice_id", "total", "status", F.size("line_items").cast("long").alias("n_lines"), quantity.alias("quantity"))
+
+
+@query("field_accuracy", """WITH t AS (SELECT o_orderkey AS k, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT round(avg((k % 11 <> 0)::INT), 6) AS total, round(avg((k % 7 <> 0)::INT), 6) AS status, 1e0 AS line_count, count(*) AS n FROM t""")
+def field_accuracy(spark, sf_dir):
+    """Share of invoices whose field is read as it is: total within half a cent, status, number of lines."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
+    both = _read_back(spark, sf_dir).join(lines, F.col("orderkey") == F.col("k"), "left")
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 6)
+    return both.agg(share(F.abs(F.col("total") - F.col("true_total")) < 0.005).alias("total"), share(F.col("status") == F.col("true_status")).alias("status"), share(F.size("line_items") == F.coalesce("n", F.lit(0))).alias("line_count"), F.count("*").alias("n"))
+
+
+@query("upsert_children", "WITH e AS (SELECT user_id, event_id, event_type FROM events), k AS (SELECT user_id, max(event_id) AS last FROM e GROUP BY 1) SELECT k.user_id, last, count(*) AS children FROM k JOIN e USING (user_id) GROUP BY 1, 2")
+def upsert_children(spark, sf_dir):
+    """Of records with one key the last stays, and the child rows of those it replaced stay too."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    last = last_wins(rows, "user_id", "event_id").select("user_id", F.col("event_id").alias("last"))
+    return last.join(rows, "user_id").groupBy("user_id", "last").agg(F.count("*").alias("children"))
+
+
+def _answered(spark, sf_dir) -> DataFrame:
+    """id, retrieval and sql: each question's answer by the invoices' lines that hold its last words, and by a statement, null where there is none."""
+    records = invoices(spark, sf_dir)
+    lines = spark.createDataFrame([], "invoice_id long, description string, quantity int")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("List of "), F.col("p_type"), F.lit(" parts")).alias("description"))
+    typed = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("invoice_id"), "l_partkey").join(parts, F.col("l_partkey") == F.col("k")).select("invoice_id", "description")
+    named = records.withColumn("purchase_order", F.lit(None).cast("string"))
+    out = None
+    for i, q in ASKED:
+        sql = answer(q, records, lines).select(F.lit(i).alias("id"), F.col("answer").alias("sql"))
+        found = describe(q, named, typed).agg(F.array_join(F.sort_array(F.collect_list("invoice_id")).cast("array<string>"), ",").alias("retrieval"))
+        row = sql.join(F.broadcast(found)).select("id", "sql", F.nullif("retrieval", F.lit("")).alias("retrieval"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+#: Two questions for a statement, and one that only the lines can answer.
+ASKED = ((1, QUESTIONS[0][1]), (2, QUESTIONS[6][1]), (3, "Which invoices list promo parts?"))
+_ASKED = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + ") q(id, question)"
+_FOUND = "SELECT string_agg(k::VARCHAR, ',' ORDER BY k) FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type ILIKE '%promo%' ORDER BY k LIMIT 4)"
+
+
+@query("answers_by_route", f"""WITH {_INV} SELECT id, CASE WHEN regexp_matches(question, '{MARKERS[4:]}', 'i') OR id = 2 THEN 'sql' ELSE 'retrieval' END AS store,
+CASE id WHEN 1 THEN (SELECT sum(total)::DECIMAL(38,2)::VARCHAR FROM i WHERE vendor = '{_VENDOR}') WHEN 2 THEN (SELECT count(*)::VARCHAR FROM i WHERE status = 'overdue') ELSE ({_FOUND}) END AS answer FROM {_ASKED}""")
+def answers_by_route(spark, sf_dir):
+    """Each question goes to the store that its words name and gets that store's answer."""
+    asked = spark.createDataFrame(ASKED, "id int, question string").select("id", route(F.col("question")).alias("store"))
+    both = asked.join(_answered(spark, sf_dir), "id")
+    return both.select("id", "store", F.when(F.col("store") == "sql", F.col("sql")).otherwise(F.col("retrieval")).alias("answer"))
+
+
+@query("end_to_end_scores", f"""WITH {_INV}, q AS (SELECT id, regexp_matches(question, '{MARKERS[4:]}', 'i') AS sql, id = 3 AS lines FROM {_ASKED}),
+n AS (SELECT (SELECT count(*) FROM i WHERE vendor = '{_VENDOR}') > 0 AS vendor_there, ({_FOUND}) IS NOT NULL AS found)
+SELECT round(avg((lines AND found)::INT), 6) AS retrieval_only, round(avg((sql AND (id <> 1 OR vendor_there))::INT), 6) AS sql_only, round(avg((CASE WHEN sql THEN id <> 1 OR vendor_there ELSE lines AND found END)::INT), 6) AS routed FROM q, n""")
+def end_to_end_scores(spark, sf_dir):
+    """Share of questions that each store answers as the other means says: totals for statements, a scan of the lines for retrieval. Retrieval has no totals."""
+    records = invoices(spark, sf_dir)
+    parts = table(spark, sf_dir, "part").where(F.ilike("p_type", F.lit("%promo%"))).select(F.col("p_partkey").alias("k"))
+    held = table(spark, sf_dir, "lineitem").join(small(parts), F.col("l_partkey") == F.col("k"), "left_semi").select(F.col("l_orderkey").alias("k")).distinct().orderBy("k").limit(4)
+    truth = [records.where(F.col("vendor") == _VENDOR).agg(F.round(F.sum("total"), 2).cast("decimal(38,2)").cast("string").alias("t")), records.groupBy("status").count().where("status = 'overdue'").select(F.col("count").cast("string").alias("t")), held.agg(F.array_join(F.sort_array(F.collect_list("k")).cast("array<string>"), ",").alias("t"))]
+    rows = truth[0].select(F.lit(1).alias("id"), "t").unionAll(truth[1].select(F.lit(2), "t")).unionAll(truth[2].select(F.lit(3), "t"))
+    routed = answers_by_route(spark, sf_dir).select("id", F.col("answer").alias("routed"))
+    each = rows.join(_answered(spark, sf_dir), "id").join(routed, "id")
+    share = lambda c: F.round(F.avg(F.coalesce(F.col(c) == F.col("t"), F.lit(False)).cast("int")), 6)
+    return each.agg(share("retrieval").alias("retrieval_only"), share("sql").alias("sql_only"), share("routed").alias("routed"))

@@ -6,6 +6,8 @@ all ranges are the answer, the same as scoring all.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +51,81 @@ def pruned_topk(lists: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[lis
     return [(d, s) for s, d in best], scored
 
 
-def wand_topk(index: Index, k: int = TOP, width: int = RANGE) -> DataFrame:
-    """qid, doc_id, score, rank by BM25 over distinct terms."""
+class Cursor:
+    """A place in a posting list, ids sorted; looks counts the postings that were read to move it."""
+
+    def __init__(self, ids: np.ndarray, parts: np.ndarray):
+        self.ids, self.parts, self.bound = ids.tolist(), parts.tolist(), float(parts.max())
+        self.at, self.looks = 0, 0
+
+    def doc(self) -> float:
+        return self.ids[self.at] if self.at < len(self.ids) else float("inf")
+
+    def move(self, target: float, stride: int) -> None:
+        """To the first document from target on: whole strides while their last posting is before it, then one by one."""
+        n = len(self.ids)
+        while stride > 1 and self.at + stride < n and self.ids[self.at + stride] < target:
+            self.at += stride
+            self.looks += 1
+        while self.at < n and self.ids[self.at] < target:
+            self.at += 1
+            self.looks += 1
+
+
+def document_at_a_time(lists: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[list[tuple[int, float]], int]:
+    """The k best of the sums, all documents scored in order of their ids."""
+    ids, parts = np.concatenate([x for x, _ in lists]), np.concatenate([y for _, y in lists])
+    order = np.argsort(ids, kind="stable")
+    docs, first = np.unique(ids[order], return_index=True)
+    scores = np.round(np.add.reduceat(parts[order], first), 6)
+    best = np.lexsort((docs, -scores))[:k]
+    return [(int(docs[i]), float(scores[i])) for i in best], len(docs)
+
+
+def pivoted_topk(lists: list[tuple[np.ndarray, np.ndarray]], k: int, stride: int = 64) -> tuple[list[tuple[int, float]], int, int]:
+    """The k best of the sums, how many documents were scored, and how many postings were looked at.
+
+    Cursors are kept in order of their documents. The pivot is the first cursor at which the bounds so far can beat the
+    k-th best score; documents before its own cannot, so the cursors skip them.
+    """
+    cursors = every = [Cursor(*x) for x in lists]
+    heap: list[tuple[float, int]] = []  # (score, -id): the worst first
+    scored = 0
+    while True:
+        cursors = sorted((c for c in cursors if c.at < len(c.ids)), key=Cursor.doc)
+        floor = heap[0][0] if len(heap) == k else -math.inf
+        total, pivot = 0.0, None
+        for c in cursors:
+            total += c.bound
+            if total > floor + 1e-9 - 1e-6:  # scores are rounded to six places
+                pivot = c.doc()
+                break
+        if pivot is None:
+            break
+        if cursors[0].doc() == pivot:
+            score = 0.0
+            for c in cursors:
+                if c.doc() != pivot:
+                    break
+                score += c.parts[c.at]
+                c.at += 1
+                c.looks += 1
+            scored += 1
+            entry = (round(score, 6), -int(pivot))
+            if len(heap) < k:
+                heapq.heappush(heap, entry)
+            elif entry > heap[0]:
+                heapq.heapreplace(heap, entry)
+        else:
+            for c in cursors:
+                if c.doc() >= pivot:
+                    break
+                c.move(pivot, stride)
+    return [(-d, s) for s, d in sorted(heap, key=lambda e: (-e[0], -e[1]))], scored, sum(c.looks for c in every)
+
+
+def wand_topk(index: Index, k: int = TOP, width: int = RANGE, kernel=pruned_topk) -> DataFrame:
+    """qid, doc_id, score, rank by BM25 over distinct terms; kernel: pruned_topk, pivoted_topk or document_at_a_time."""
     part = idf_of(index.n) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl or 1.0)))
     rows = matched(index).select("qid", F.floor(F.col("doc_id") / width).alias("part"), "term", "doc_id", part.alias("c"))
     packed = rows.groupBy("qid", "part", "term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "c"))).alias("p"))  # at most `width` documents
@@ -60,7 +135,7 @@ def wand_topk(index: Index, k: int = TOP, width: int = RANGE) -> DataFrame:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                found, scored = pruned_topk([(np.asarray(x["ids"], np.int64), np.asarray(x["cs"], float)) for x in r.lists], k)
+                found, scored, *_ = kernel([(np.asarray(x["ids"], np.int64), np.asarray(x["cs"], float)) for x in r.lists], k)
                 out += [(r.qid, d, s, scored) for d, s in found]
             yield pd.DataFrame(out, columns=["qid", "doc_id", "score", "scored"])
 
@@ -70,3 +145,15 @@ def wand_topk(index: Index, k: int = TOP, width: int = RANGE) -> DataFrame:
 @query("wand_topk", _ranked_sql(_bm25_sql(distinct=True)))
 def q_wand_topk(spark, sf_dir):
     return wand_topk(_both(spark, sf_dir)).select("qid", "doc_id", "score", "rank")
+
+
+@query("daat_topk", _ranked_sql(_bm25_sql(distinct=True)))
+def q_daat_topk(spark, sf_dir):
+    """Document at a time: the same answers."""
+    return wand_topk(_both(spark, sf_dir), kernel=document_at_a_time).select("qid", "doc_id", "score", "rank")
+
+
+@query("wand_pivot", _ranked_sql(_bm25_sql(distinct=True)))
+def q_wand_pivot(spark, sf_dir):
+    """Pivots on upper bounds, with cursors that skip: the same answers."""
+    return wand_topk(_both(spark, sf_dir), kernel=pivoted_topk).select("qid", "doc_id", "score", "rank")

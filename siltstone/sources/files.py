@@ -22,7 +22,7 @@ def qrels_tsv(spark: SparkSession, path: str) -> DataFrame:
 def queries_tsv(spark: SparkSession, path: str) -> DataFrame:
     """qid, query: stripped; of lines with one qid the last in the file stays."""
     parts = F.split("value", "\t", 2)
-    rows = spark.read.text(path).select(F.element_at(parts, 1).cast("long").alias("qid"), F.trim(F.try_element_at(parts, F.lit(2))).alias("query"), F.monotonically_increasing_id().alias("_at"))
+    rows = spark.read.text(path).select(F.element_at(parts, 1).cast("long").alias("qid"), F.regexp_replace(F.try_element_at(parts, F.lit(2)), r"(?U)^\s+|\s+$", "").alias("query"), F.monotonically_increasing_id().alias("_at"))
     return rows.groupBy("qid").agg(F.max_by("query", "_at").alias("query"))
 
 
@@ -48,15 +48,61 @@ def truth_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
-def snapshot(df: DataFrame, path: str) -> DataFrame:
-    """df from its Parquet snapshot, which is written the first time."""
+def there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def require(spark: SparkSession, *paths: str, remedy: str = "") -> None:
+    """Fails before any work if an input is missing, and says what to do about it."""
+    if missing := [p for p in paths if not there(spark, p)]:
+        raise FileNotFoundError(f"missing: {', '.join(missing)}. {remedy}".strip())
+
+
+def snapshot(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
+    """df from its Parquet snapshot, which is written the first time, and anew if it has not as many rows as given."""
     spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        df.write.mode("overwrite").parquet(path)
+    if there(spark, f"{path}/_SUCCESS"):
+        stored = spark.read.parquet(path)
+        if rows is None or stored.count() == rows:
+            return stored
+    df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 0, through all files in order of their names) and value. Places within a partition and the lines before it, a row for each partition, give the number."""
+    rows = spark.read.text(path).select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"), F.input_file_name().alias("_f"), "value")
+    counts = rows.groupBy("_p", "_f").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    order = Window.orderBy("_f", "_p", "_first")
+    before = counts.select(F.col("_p").alias("_q"), F.col("_f").alias("_g"), "_first", (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), (F.col("_p") == F.col("_q")) & (F.col("_f") == F.col("_g"))).select((F.col("_i") - F.col("_first") + F.col("_before")).alias("line"), "value")
+
+
+def corpus_lines(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """pid and text of the lines whose number is in wanted (line)."""
+    lines = numbered_lines(spark, path).join(wanted.select("line").distinct(), "line", "left_semi")
+    return lines.select(F.col("line").alias("pid"), F.regexp_extract("value", r"(?s)^[^\t]*\t(.*)$", 1).alias("text"))
+
+
+#: Sizes by name, and what stands for all.
+SCALES = {"10k": 10_000, "50k": 50_000, "100k": 100_000, "1m": 1_000_000}
+
+
+def scale(name: str, limit: int | None = None) -> int:
+    """How many passages a name or a limit stands for; the limit wins."""
+    if limit is not None:
+        return limit
+    if name not in SCALES:
+        raise ValueError(f"no such scale: {name}; there are {', '.join(SCALES)}")
+    return SCALES[name]
+
+
+def crossings(length: Column, buffer: int) -> Column:
+    """Reads of a file of this length in pieces of `buffer` bytes, the last one empty."""
+    return F.ceil(length / F.lit(buffer)) + 1
+
+
 def write_run(postings: DataFrame, path: str, partitions: int = 1) -> None:
     """Lines `term<TAB>id,id,...`, sorted within each file; terms are dealt by range, so files follow one another."""
     lists = postings.groupBy("term").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))

@@ -116,6 +116,105 @@ def test_pruned_topk_equals_all(spark):
         assert [(-s, d) for d, s in got] == want and scored <= len(total)
 
 
+@pytest.mark.parametrize("stride", [1, 3, 64])
+def test_kernels_give_the_same_answers(stride):
+    import numpy as np
+
+    rng, looked = np.random.default_rng(5), []
+    for _ in range(40):
+        lists = [(ids, rng.integers(1, 99, len(ids)) / rng.integers(1, 9)) for ids in (np.unique(rng.integers(0, 900, rng.integers(1, 500))) for _ in range(rng.integers(1, 6)))]
+        want, every = wand.document_at_a_time(lists, 10)
+        got, scored, looks = wand.pivoted_topk(lists, 10, stride)
+        assert got == want == wand.pruned_topk(lists, 10)[0] and scored <= every
+        looked.append(looks)
+    assert sum(looked) > 0
+
+
+def test_lists_are_cut_by_ranges(spark):
+    words = lexical.worded(docs_of(spark, ["a b", "a", "b a", "a"]))
+    assert {(r["term"], r["part"], tuple(r["ids"])) for r in lexical.lists(words, 2).collect()} == {("a", 0, (0, 1)), ("a", 1, (2, 3)), ("b", 0, (0,)), ("b", 1, (2,))}
+
+
+def test_stored_segments_are_compacted(spark, tmp_path):
+    rows = spark.createDataFrame([(s, t, d) for s in range(9) for d in (2 * s, 2 * s + 1) for t in ("all", f"t{s}")], "segment_id long, term string, doc_id long")
+    files.write_segments(rows, str(tmp_path / "old"))
+    rewritten = segments.compact(spark, str(tmp_path / "old"), str(tmp_path / "new"), 3)
+    new = spark.read.parquet(str(tmp_path / "new"))
+    assert (new.select("segment_id").distinct().count(), rewritten) == (1, 36)
+    assert sorted(map(tuple, new.select("term", "doc_id").collect())) == sorted(map(tuple, rows.select("term", "doc_id").collect()))
+
+
+def test_index_readers():
+    """Old and new readers on old and new data: read, refuse, read without lengths, read with them."""
+    old, new = codec.pack({"a": [1]}), codec.pack({"a": [1]}, {1: 4})
+    assert codec.unpack(old, newest=1)[1:] == ({"a": [1]}, {}) and codec.unpack(old)[1:] == ({"a": [1]}, {})
+    assert codec.unpack(new, tail=False)[1:] == ({"a": [1]}, {}) and codec.unpack(new)[1:] == ({"a": [1]}, {1: 4})
+    with pytest.raises(ValueError):
+        codec.unpack(new, newest=1)
+
+
+def test_line_numbers_snapshots_and_scales(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"c{n}.tsv").write_text("".join(f"{n}{i}\ttext {n} {i}\twith tab\n" for i in range(5)))
+    path = str(tmp_path / "*.tsv")
+    assert [r["line"] for r in files.numbered_lines(spark, path).orderBy("line").collect()] == list(range(15))
+    wanted = spark.createDataFrame([(0,), (7,), (14,), (99,)], "line long")
+    assert [tuple(r) for r in files.corpus_lines(spark, path, wanted).orderBy("pid").collect()] == [(0, "text 0 0\twith tab"), (7, "text 1 2\twith tab"), (14, "text 2 4\twith tab")]
+    stored = str(tmp_path / "snap")
+    assert files.snapshot(spark.range(3), stored).count() == 3 and files.snapshot(spark.range(5), stored).count() == 3
+    assert files.snapshot(spark.range(5), stored, rows=5).count() == 5
+    assert (files.scale("10k"), files.scale("10k", 7)) == (10_000, 7)
+    for bad in (lambda: files.scale("2k"), lambda: files.require(spark, str(tmp_path / "none"), remedy="Fetch it first.")):
+        with pytest.raises((ValueError, FileNotFoundError)):
+            bad()
+    files.require(spark, str(tmp_path / "c0.tsv"))
+
+
+def test_measurements(tmp_path):
+    from siltstone import measure
+
+    path = str(tmp_path / "m.json")
+    assert measure.read_measurements(path) == {}
+    measure.write_measurements(path, {"a": 1, "b": 2})
+    assert measure.write_measurements(path, {"b": 3})["a"] == 1 and measure.read_measurements(path)["b"] == 3 and "machine" in measure.read_measurements(path)
+    assert "a" not in measure.write_measurements(path, {"c": 1}, merge=False)
+    runs = []
+    assert measure.best_of(lambda: runs.append(1) or len(runs))[0] == 3 and len(runs) == 3
+    got = measure.growth([(10, 20.0), (100, 300.0)], 900.0)
+    assert (got["last"], got["least"], got["most"], got["until_full"]) == (3.0, 2.0, 3.0, 300.0)
+    assert measure.rebuild_ratio(lambda: sum(range(200_000)), lambda: sum(range(200))) > 1
+
+
+def test_sequences():
+    from siltstone.operators.evaluate import sequence_compare
+
+    got = sequence_compare("the quick fox", "the slow fox")
+    assert got["at"] == 4 and got["kind"] in ("replace", "delete", "insert") and 0.5 < got["ratio"] < 1
+    assert sequence_compare("same", "same") == {"ratio": 1.0, "kind": None, "at": None, "a": None, "b": None} and sequence_compare(None, "x")["kind"] == "insert"
+
+
+def test_pdf_by_place():
+    import zlib
+
+    body = b"BT 1 0 0 1 200 700 Tm (right) Tj ET BT 1 0 0 1 10 700 Tm (left) Tj 0 -20 Td (below) Tj ET"
+    pdf = b"%PDF-1.4\nstream\n" + zlib.compress(body) + b"\nendstream\nstream\n" + zlib.compress(b"BT (next page) Tj ET") + b"\nendstream"
+    assert parse.pdf_text_by_place(pdf) == "left right\nbelow\nnext page"
+    assert parse.operator_counts(pdf) == {"BT": 3, "ET": 3, "Td": 1, "Tj": 4, "Tm": 2}
+
+
+def test_boxes_and_wav_and_invoices(spark, tmp_path):
+    import zlib
+
+    words = spark.createDataFrame([(1, 1, 1, 2, 30, 5, 10, 8, "two"), (1, 1, 1, 1, 10, 6, 10, 8, "one"), (1, 1, 2, 1, 0, 20, 5, 5, "next")], "block int, par int, line int, i int, left int, top int, width int, height int, text string")
+    assert [tuple(r[c] for c in ("text", "left", "top", "right", "bottom")) for r in parse.boxes_to_lines(words).orderBy("line").collect()] == [("one two", 10, 5, 40, 14), ("next", 0, 20, 5, 25)]
+    (tmp_path / "inv-1.pdf").write_bytes(b"%PDF-1.4\nstream\n" + zlib.compress(b"BT (Invoice INV-1) Tj ET") + b"\nendstream")
+    assert [tuple(r) for r in parse.invoices_of(files.files(spark, str(tmp_path), "*.pdf")).collect()] == [("inv-1", "Invoice INV-1")]
+    (tmp_path / "truth.json").write_text('{"records": [{"id": 1,\n "lines": [{"n": 2}]}]}')
+    assert files.truth_json(spark, str(tmp_path / "truth.json")).select(F.inline("records")).first()["lines"][0]["n"] == 2
+    packed = files.small_files(docs_of(spark, [f"t{i}" for i in range(5)]), 2).orderBy("file_id").collect()
+    assert [r["content"] for r in packed] == ["t0\nt1", "t2\nt3", "t4"]
+
+
 def test_chunks(spark):
     text = "One two three. Four five! " * 20
     rows = T.chunk_fixed(docs_of(spark, [text, "", "  "]), size=60, overlap=10).collect()

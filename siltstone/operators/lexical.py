@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.catalog import query
 from siltstone.functions.text import STOPWORDS, picked, tokens, without_stopwords
-from siltstone.session import settle, small, table
+from siltstone.session import dealt, settle, small, table
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Documents behind one posting list: a list longer than that is a row for each range of ids.
@@ -22,7 +22,7 @@ RANGE = 1 << 16
 
 
 def passages(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def worded(docs: DataFrame, stop: bool = False) -> DataFrame:
@@ -187,8 +187,11 @@ def inverted_index(spark, sf_dir):
 
 @query("index_stats", f"{_base()} SELECT (SELECT n FROM s) AS documents, count(DISTINCT term) AS vocabulary, count(*) AS postings, sum(tf)::BIGINT AS tokens, round(count(*) / (SELECT n FROM s)::DOUBLE, 6) AS postings_per_passage, (8 * count(*) + (SELECT sum(strlen(term)) FROM f))::BIGINT AS index_bytes FROM p")
 def index_stats(spark, sf_dir):
-    by_term = postings(worded(passages(spark, sf_dir))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    n = passages(spark, sf_dir).count()
+    words = worded(passages(spark, sf_dir))
+    marked = lambda c, first: F.transform(c, lambda w: F.struct(w.alias("term"), F.lit(first).alias("first")))
+    rows = words.select(F.inline(F.concat(marked(F.col("words"), 0), marked(F.array_distinct("words"), 1))))  # summed by term where they are read
+    by_term = rows.groupBy("term").agg(F.sum("first").alias("df"), F.sum(1 - F.col("first")).alias("cf"))
+    n = table(spark, sf_dir, "documents").count()
     return by_term.agg(F.lit(n).cast("long").alias("documents"), F.count("*").alias("vocabulary"), F.sum("df").alias("postings"), F.sum("cf").alias("tokens"), F.round(F.sum("df") / F.lit(float(n)), 6).alias("postings_per_passage"), (8 * F.sum("df") + F.sum(F.octet_length("term"))).alias("index_bytes"))
 
 

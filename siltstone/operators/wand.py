@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.catalog import query
-from siltstone.operators.lexical import B, K1, TOP, Index, _both, _bm25_sql, _ranked_sql, idf_of, matched, top_k
+from siltstone.operators.lexical import B, K1, TOP, Index, _both, _bm25_sql, _ranked_sql, idf_of, top_k
+from siltstone.session import small
 
 #: Documents of a range.
 RANGE = 50_000
@@ -28,27 +29,30 @@ def pruned_topk(lists: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[lis
     Lists in falling order of their bound; a document is worth scoring if some list holds it whose bounds, with those of
     all later lists, exceed the k-th best score so far.
     """
-    lists = sorted(lists, key=lambda p: -p[1].max())
-    bounds = [float(p[1].max()) for p in lists]
-    best: list[tuple[float, int]] = []
-    seen: set[int] = set()
-    scored = 0
-    for i, (ids, _) in enumerate(lists):
-        floor = best[k - 1][0] if len(best) >= k else -1.0
-        if sum(bounds[i:]) < floor - 1e-6:
+    docs = np.unique(np.concatenate([ids for ids, _ in lists]))
+    placed = sorted(((np.searchsorted(docs, ids), part) for ids, part in lists), key=lambda p: -p[1].max())
+    rest = np.cumsum([float(part.max()) for _, part in placed][::-1])[::-1].tolist() + [0.0]
+    seen, scored, floor = np.zeros(len(docs), bool), 0, -1.0
+    best, scores = np.empty(0, np.int64), np.empty(0)
+    for i, (places, _) in enumerate(placed):
+        if rest[i] < floor - 1e-6:
             break
-        new = ids[~np.isin(ids, np.fromiter(seen, np.int64, len(seen)))] if seen else ids
-        total, rest = np.zeros(len(new)), sum(bounds)
-        alive = np.ones(len(new), bool)
-        for own, part in lists:
-            rest -= float(part.max())
+        new = places[~seen[places]]  # in none of the lists before
+        seen[new] = True
+        total = np.zeros(len(new))
+        for j in range(i, len(placed)):
+            own, part = placed[j]
             at = np.minimum(np.searchsorted(own, new), len(own) - 1)
-            total += np.where(alive & (own[at] == new), part[at], 0.0)
-            alive &= total + rest >= floor - 1e-6
-        scored += int(alive.sum())
-        seen.update(new.tolist())
-        best = [(-s, d) for s, d in sorted([*[(-s, d) for s, d in best], *zip((-np.round(total[alive], 6)).tolist(), new[alive].tolist(), strict=True)])[:k]]
-    return [(d, s) for s, d in best], scored
+            total += np.where(own[at] == new, part[at], 0.0)
+            alive = total + rest[j + 1] >= floor - 1e-6
+            if not alive.all():
+                new, total = new[alive], total[alive]
+        scored += len(new)
+        best, scores = np.concatenate([best, new]), np.concatenate([scores, np.round(total, 6)])
+        order = np.lexsort((best, -scores))[:k]
+        best, scores = best[order], scores[order]
+        floor = float(scores[-1]) if len(scores) == k else -1.0
+    return list(zip(docs[best].tolist(), scores.tolist(), strict=True)), scored
 
 
 class Cursor:
@@ -127,9 +131,11 @@ def pivoted_topk(lists: list[tuple[np.ndarray, np.ndarray]], k: int, stride: int
 def wand_topk(index: Index, k: int = TOP, width: int = RANGE, kernel=pruned_topk) -> DataFrame:
     """qid, doc_id, score, rank by BM25 over distinct terms; kernel: pruned_topk, pivoted_topk or document_at_a_time."""
     part = idf_of(index.n) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl or 1.0)))
-    rows = matched(index).select("qid", F.floor(F.col("doc_id") / width).alias("part"), "term", "doc_id", part.alias("c"))
-    packed = rows.groupBy("qid", "part", "term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "c"))).alias("p"))  # at most `width` documents
-    lists = packed.groupBy("qid", "part").agg(F.collect_list(F.struct(F.col("p.doc_id").alias("ids"), F.col("p.c").alias("cs"))).alias("lists"))
+    terms = index.asked.select("term", "df").distinct()
+    rows = index.postings.join(small(terms), "term").select(F.floor(F.col("doc_id") / width).alias("part"), "term", "doc_id", part.alias("c"))
+    packed = rows.groupBy("part", "term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "c"))).alias("p"))  # at most `width` documents; once a term, whoever asks
+    each = packed.select("part", "term", F.struct(F.col("p.doc_id").alias("ids"), F.col("p.c").alias("cs")).alias("list"))
+    lists = each.join(small(index.asked.select("qid", "term")), "term").groupBy("qid", "part").agg(F.collect_list("list").alias("lists"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

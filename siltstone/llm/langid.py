@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import fresh, hash60, need
-from siltstone.session import table
+from siltstone.session import dealt, table
 
 #: N-grams of a profile and of a document's list.
 TOP = 300
@@ -121,5 +121,5 @@ def fitted(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def op8_langid(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return identify(docs.select("doc_id", "text"), fitted(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

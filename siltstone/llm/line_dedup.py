@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import need
-from siltstone.session import settle, small, table
+from siltstone.session import dealt, settle, small, table
 
 WILD = "<*>"
 #: Leading tokens of the tree's path; different texts that make a template recur; share of fixed tokens of a template.
@@ -85,5 +85,5 @@ def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "te
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = drop_template_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = drop_template_lines(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import fresh, hash60, need
 from siltstone.llm.sharding import numbered
-from siltstone.session import release, settle, small, table
+from siltstone.session import dealt, release, settle, small, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BITS, LEVEL = 60, 12
@@ -106,7 +106,7 @@ def repeat_rows(mixed: DataFrame, copies: str = "copies") -> DataFrame:
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mix_sources(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies")
 
 

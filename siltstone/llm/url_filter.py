@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import LOWER, UPPER, fresh, need
-from siltstone.session import settle, small, table
+from siltstone.session import dealt, settle, small, table
 
 #: host suffix, path prefix, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -202,5 +202,5 @@ def judge_urls(pages: DataFrame, models: tuple[Vocabulary, Bayes], url: str = "u
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = dealt(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return judge_urls(pages.select("page_id", "url"), train(pages)).select("page_id", "host", "path", "rule", "verdict", "score", "host_words")

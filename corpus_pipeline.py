@@ -17,7 +17,7 @@ from siltstone.llm.langid import fitted, identify
 from siltstone.llm.mixing import NAMES, mix_sources, repeat_rows
 from siltstone.llm.ngram_join import jaccard_stays
 from siltstone.llm.sharding import shard_rows_whole
-from siltstone.session import remove, shared_dir, table
+from siltstone.session import dealt, remove, shared_dir, table
 
 #: A document of which no n-gram list comes this near to any language's profile is no language that was learned.
 LEAST_SCORE = 0.15
@@ -59,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the stages make of documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")

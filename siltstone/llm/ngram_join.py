@@ -169,7 +169,7 @@ def folded(counts: np.ndarray, n: int) -> np.ndarray:
     return counts.astype(np.int32).reshape(-1, n).sum(axis=0)
 
 
-def _count_frequent(words: int, window: int = 1 << 20, least: int = 4):
+def _count_frequent(words: int, window: int = 1 << 20, least: int = 2):
     def flush(sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True) if sets else (np.empty(0, np.uint64),) * 2
         often = counts >= least

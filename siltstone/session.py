@@ -25,7 +25,8 @@ def dealt(df: DataFrame) -> DataFrame:
     Only the plan differs. Places of rows are not kept, so nothing may tell rows apart by them in two reads.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # whole files, as columns that are left out make them look smaller than they are
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(cores) if size < PER_CORE * cores else df
 
 

@@ -28,7 +28,7 @@ from siltstone.session import release, settle, small, table
 WORDS, PERCENT = 5, 80
 #: Classes in a block of the product, columns multiplied at once, classes per partition of the shared n-grams' search,
 #: and members of a list that are compared at once.
-BLOCK, COLUMNS, PER_BUCKET, LIST = 256, 4096, 5000, 512
+BLOCK, COLUMNS, PER_BUCKET, LIST = 256, 4096, 5000, 256
 #: Rows that a worker turns into sets at once, entries of sets that it multiplies at once, and nodes of which it joins edges.
 ROWS, ENTRIES, NODES = 256, 1 << 19, 1 << 20
 #: Bins of the counts that bound an overlap, by set size; larger numbers fold to smaller ones. Sets of n unrelated
@@ -349,7 +349,7 @@ def _edges(percent: int):
                 b = whole.slice(at, LIST)
                 lists = b.column("list").to_numpy()
                 last = int(np.searchsorted(lists, lists[-1]))  # where the last list begins; it may go on
-                if last and sum(x.num_rows for x in held) + last >= 8 * LIST:
+                if last and sum(x.num_rows for x in held) + last >= 16 * LIST:
                     stars.add(found([*held, b.slice(0, last)]))
                     held = [b.slice(last)]
                 else:
@@ -527,7 +527,7 @@ def _frequent(rows: DataFrame, words: int, most: int = FREQUENT) -> np.ndarray:
         if total > most:
             break
         least = k
-    found = np.empty(0, np.int64) if least is None else counted.where(level >= least).select("h").toPandas()["h"].to_numpy(np.int64)
+    found = np.empty(0, np.int64) if least is None else counted.where(level >= least).select("h").toArrow().column("h").to_numpy()
     release(counted)
     return np.sort(found.view(np.uint64))
 

@@ -29,19 +29,26 @@ def tokens_of(line: str) -> Column:
     return F.filter(F.split(F.col(line), " "), lambda t: t != "")
 
 
+def masked(line: Column) -> Column:
+    """A line with the tokens that hold a digit masked. The look-behind starts matches at tokens only, so that a very long token is read once."""
+    return F.when(F.regexp_like(line, F.lit("[0-9]")), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILD)).otherwise(line)
+
+
 def lines_of(docs: DataFrame, id_col: str, text: str, depth: int, tokens: int, chars: int) -> DataFrame:
-    """_id, _doc (hash of the text), _at (number of the line, from 0), _line (masked, blanks single), _same (hash of the line as it stands, blanks single), _short, _leaf (null below `tokens`). Blank lines give no row. Lines with neither a digit nor white space to replace skip the patterns, and no line is cut into all its tokens."""
+    """_id, _doc (hash of the text), _at (number of the line, from 0), _flat (blanks single), _same (its hash), _short, _leaf (0 below `tokens`).
+
+    Blank lines give no row. Lines without white space to replace skip the pattern, only the leading tokens are masked,
+    and no line is cut into all its tokens.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
-    split = docs.select(F.col(id_col).alias("_id"), F.xxhash64(whole).alias("_doc"), F.posexplode(F.split(whole, "\n", -1)).alias("_at", "_raw"))
-    # the look-behind starts matches at tokens only, so that a very long token is read once
+    split = docs.select(F.col(id_col).alias("_id"), F.xxhash64(whole).alias("_doc"), F.posexplode(F.split(whole, "\n", -1)).alias("_at", "_raw")).where(F.regexp_like("_raw", F.lit(r"\S")))
     odd = F.regexp_like("_raw", F.lit(r"[\t\r\f\x0B]")) | F.contains(F.col("_raw"), F.lit("  "))
     flat = split.select("_id", "_doc", "_at", F.trim(F.when(odd, F.regexp_replace("_raw", r"\s+", " ")).otherwise(F.col("_raw"))).alias("_flat"))
-    masked = F.regexp_replace("_flat", "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILD)
-    lines = flat.select("_id", "_doc", "_at", F.when(F.regexp_like("_flat", F.lit("[0-9]")), masked).otherwise(F.col("_flat")).alias("_line"), F.length("_flat").alias("_chars"), F.xxhash64(F.lit("="), "_flat").alias("_same"))
-    size = F.length("_line") - F.length(F.replace(F.col("_line"), F.lit(" "), F.lit(""))) + 1
-    sized = lines.where(F.col("_line") != "").withColumn("_size", size)
-    leaf = F.when(F.col("_size") >= tokens, F.xxhash64("_size", F.substring_index("_line", " ", depth)))
-    return sized.select("_id", "_doc", "_at", "_line", "_same", ((F.col("_size") < tokens) & (F.col("_chars") < chars)).alias("_short"), leaf.alias("_leaf"))
+    size = F.length("_flat") - F.length(F.replace(F.col("_flat"), F.lit(" "), F.lit(""))) + 1
+    sized = flat.select("*", size.alias("_size"), F.xxhash64(F.lit("="), "_flat").alias("_same"))
+    short = (F.col("_size") < tokens) & (F.length("_flat") < chars)
+    leaf = F.when(F.col("_size") >= tokens, F.xxhash64("_size", masked(F.substring_index("_flat", " ", depth)))).otherwise(F.lit(0).cast("long"))  # never null, else a join would ask for that first and parse twice
+    return sized.select("_id", "_doc", "_at", "_flat", "_same", short.alias("_short"), leaf.alias("_leaf"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str, text: str, depth: int, texts: int, fixed: float, verbatim: int, tokens: int, chars: int, short: int) -> DataFrame:
@@ -50,8 +57,9 @@ def recurring_lines(docs: DataFrame, id_col: str, text: str, depth: int, texts:
     hashes = settle(lines.select("_id", "_doc", "_at", "_same", "_short", "_leaf"))  # no text: lines are parsed once more only for recurring leaves
     equal = settle(hashes.select("_same", "_short", "_doc").distinct().groupBy("_same", "_short").count().where(F.col("count") >= F.when(F.col("_short"), short).otherwise(verbatim)).select(F.col("_same").alias("_s")))
     same = hashes.join(small(equal), F.col("_same") == F.col("_s"), "left_semi").select("_id", "_doc", "_at")
-    leaves = settle(hashes.where(F.col("_leaf").isNotNull()).select("_leaf", "_doc").distinct().groupBy("_leaf").count().where(F.col("count") >= texts).select(F.col("_leaf").alias("_l")))
-    inside = settle(lines.join(small(leaves), F.col("_leaf") == F.col("_l"), "left_semi"))
+    leaves = settle(hashes.where(F.col("_leaf") != 0).select("_leaf", "_doc").distinct().groupBy("_leaf").count().where(F.col("count") >= texts).select(F.col("_leaf").alias("_l")))
+    inside = lines.join(small(leaves), F.col("_leaf") == F.col("_l"), "left_semi")
+    inside = settle(inside.select("_id", "_doc", "_at", "_leaf", masked(F.col("_flat")).alias("_line")))
     forms = settle(inside.select("_leaf", "_line", "_doc").distinct().groupBy("_leaf", "_line").agg(F.count("*").alias("_n")))  # different lines, with their texts
     form = F.xxhash64("_leaf", "_line")
     rows = forms.select("_leaf", "_n", form.alias("_form"), tokens_of("_line").alias("_words")).select("_leaf", "_n", "_form", F.size("_words").alias("_size"), F.posexplode("_words").alias("_p", "_t"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,38 +35,71 @@ def extraction_failed(text: Column, least: int = MIN_CHARS) -> Column:
     return F.length(strip(F.coalesce(text, F.lit("")))) < least
 
 
+def running_sums(steps: Column) -> Column:
+    return F.pandas_udf(lambda s: s.map(lambda x: np.cumsum(np.asarray(x, np.int64)).tolist()), "array<long>", F.PandasUDFType.SCALAR)(steps)
+
+
+def pieces(text: Column, step: int, make: Callable[[Column, Column, Column], Column]) -> Column:
+    """make(all pieces, piece, index) for each piece of `step` characters; one pass over the text cuts them all."""
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    return F.get(F.transform(F.array(cut), lambda a: F.transform(a, lambda p, i: make(a, p, i))), F.lit(0))
+
+
 def chunk_fixed(docs: DataFrame, text: str = "text", size: int = 500, overlap: int = 100, stripped: bool = False) -> DataFrame:
-    """A row for each chunk: start, end and chunk beside the columns of docs; blank chunks and empty texts give none."""
-    step, n = size - overlap, F.length(text)
-    starts = F.explode(F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>")))
-    out = docs.withColumn("start", starts).withColumn("chunk", F.substring(F.col(text), F.col("start") + 1, F.lit(size)))
+    """A row for each chunk: start, end and chunk beside the columns of docs; blank chunks and empty texts give none.
+
+    A chunk is a piece and the begin of those after it, so the time is linear in the text where `text` is not kept.
+    """
+    step = size - overlap
+
+    def chunk(a: Column, p: Column, i: Column) -> Column:
+        after = F.substring(F.array_join(F.slice(a, i + 2, F.lit(-(-overlap // step))), ""), 1, overlap)
+        return F.struct((i * step).alias("start"), F.concat(p, after).alias("chunk"))
+
+    out = docs.drop("start", "chunk", "end").select("*", F.inline(pieces(F.col(text), step, chunk)))
     out = out.withColumn("end", F.col("start") + F.length("chunk"))
     if stripped:
         out = out.withColumn("chunk", strip(F.col("chunk")))
     return out.where(F.length(strip(F.col("chunk"))) > 0)
 
 
+def cuts(docs: DataFrame, step: int = 400) -> DataFrame:
+    """doc_id, start, l, r: a row for each cut within a text, with the pieces before and after it."""
+    rows = docs.select("doc_id", F.inline(pieces(F.col("text"), step, lambda a, p, i: F.struct((i * step).alias("start"), F.get(a, i - 1).alias("l"), p.alias("r")))))
+    return rows.where("start > 0")
+
+
+def cut_words(docs: DataFrame, step: int = 400) -> DataFrame:
+    """doc_id, start, word: the words that a cut falls into. Only one that fills a whole piece is sought beyond it."""
+    blank = F.lit(r"(?U)\s")
+
+    def sides(a: Column, p: Column, i: Column) -> Column:
+        before = F.get(a, i - 1)
+        left = F.when(F.regexp_like(before, blank), before).otherwise(F.array_join(F.slice(a, F.lit(1), i), ""))
+        right = F.when(F.regexp_like(p, blank), p).otherwise(F.array_join(F.slice(a, i + 1, F.size(a)), ""))
+        return F.struct((i * step).alias("start"), left.alias("l"), right.alias("r"))
+
+    rows = docs.select("doc_id", F.inline(pieces(F.col("text"), step, sides))).where("start > 0")
+    within = F.regexp_like(F.right("l", F.lit(1)), F.lit(r"(?U)\S")) & F.regexp_like(F.left("r", F.lit(1)), F.lit(r"(?U)\S"))
+    word = F.concat(F.element_at(F.split("l", r"(?U)\s+"), -1), F.get(F.split("r", r"(?U)\s+", 2), F.lit(0)))
+    return rows.where(within).select("doc_id", "start", word.alias("word"))
+
+
 def sentence_chunks(text: Column, most: int = 500) -> Column:
-    """Chunks of whole sentences as an array of structs (start, end, text), folded over the sentences in order.
+    """Chunks of whole sentences as an array of structs (start, end, text), in one pass over the text.
 
     A chunk takes sentences while their lengths, one more for each before, stay within `most`; a longer one stands alone.
-    Starts count one character between sentences, whatever white space was there.
+    Starts count one character between sentences, whatever white space was there; a text's own ends are not trimmed.
     """
-    parts = F.filter(F.transform(F.split(F.trim(text), r"(?U)(?<=[.!?])\s+"), lambda s: s), lambda s: s != "")
-    kind = "struct<done:array<struct<start:int,end:int,text:string>>,start:int,text:string>"
-    zero = F.from_json(F.lit('{"done":[],"start":0,"text":""}'), kind)
-
-    def closed(a: Column) -> Column:
-        return F.concat(a["done"], F.array(F.struct(a["start"].alias("start"), (a["start"] + F.length(a["text"])).alias("end"), a["text"].alias("text"))))
+    joined = F.regexp_replace(F.regexp_replace(text, r"(?U)([.!?])\s+", "$1 "), r"(?<=[.!?]) \z", "")
+    longest_first = rf"(?s)(.{{1,{most}}}\z|.{{0,{most - 1}}}[.!?](?= )|.*?[.!?](?= )|.+)(?: |\z)"
+    chunks = F.regexp_extract_all(joined, F.lit(longest_first), F.lit(1))
+    after = running_sums(F.transform(chunks, lambda c: F.length(c) + 1))
 
-    def add(a: Column, s: Column) -> Column:
-        fits = F.length(a["text"]) + 1 + F.length(s) <= most
-        full = F.struct(closed(a).alias("done"), (a["start"] + F.length(a["text"]) + 1).alias("start"), s.alias("text"))
-        more = F.struct(a["done"].alias("done"), a["start"].alias("start"), F.concat(a["text"], F.lit(" "), s).alias("text"))
-        first = F.struct(a["done"].alias("done"), a["start"].alias("start"), s.alias("text"))
-        return F.when(a["text"] == "", first).when(fits, more).otherwise(full).cast(kind)
+    def placed(c: Column, e: Column) -> Column:
+        return F.struct((e - 1 - F.length(c)).cast("int").alias("start"), (e - 1).cast("int").alias("end"), c.alias("text"))
 
-    return F.aggregate(parts, zero, add, lambda a: F.when(a["text"] == "", a["done"]).otherwise(closed(a)))
+    return F.zip_with(chunks, after, placed)
 
 
 def cosine(a: Column, b: Column) -> Column:

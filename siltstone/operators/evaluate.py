@@ -25,22 +25,21 @@ def chunk_strip(spark, sf_dir):
     return T.chunk_fixed(passages(spark, sf_dir), size=1000, overlap=200, stripped=True).select("doc_id", F.col("start").cast("long").alias("start"), F.md5("chunk").alias("digest"))
 
 
-@query("chunk_sentences")
+@query("chunk_sentences", r"""WITH j AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([.!?])\s+', '\1 ', 'g'), '([.!?]) $', '\1') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '(?s).{1,500}$|.{0,499}[.!?] |.*?[.!?] |.+') AS cs FROM j),
+c AS (SELECT doc_id, n, cs[n + 1] AS c FROM (SELECT *, unnest(range(len(cs))) AS n FROM m)),
+k AS (SELECT doc_id, n, regexp_replace(c, '([.!?]) $', '\1') AS c FROM c),
+e AS (SELECT *, sum(length(c) + 1) OVER (PARTITION BY doc_id ORDER BY n) - 1 AS e FROM k)
+SELECT doc_id, n::INT AS n, (e - length(c))::INT AS start, e::INT AS end_, md5(c) AS digest FROM e""")
 def chunk_sentences(spark, sf_dir):
-    chunks = passages(spark, sf_dir).select("doc_id", F.posexplode(T.sentence_chunks(F.col("text"))).alias("n", "c"))
+    chunks = passages(spark, sf_dir).select("doc_id", T.sentence_chunks(F.col("text")).alias("cs")).select("doc_id", F.posexplode("cs").alias("n", "c"))
     return chunks.select("doc_id", "n", F.col("c.start").alias("start"), F.col("c.end").alias("end_"), F.md5("c.text").alias("digest"))
 
 
-def straddling(docs: DataFrame) -> DataFrame:
-    """Chunks that begin within a word, and the word."""
-    cuts = T.chunk_fixed(docs).where("start > 0").select("doc_id", "start", F.substring(F.col("text"), F.lit(1), F.col("start")).alias("l"), F.substring(F.col("text"), F.col("start") + 1, F.length("text")).alias("r"))
-    word = F.concat(F.regexp_extract("l", r"(?U)(\S+)\z", 1), F.regexp_extract("r", r"(?U)^(\S+)", 1))
-    return cuts.where(F.regexp_like("l", F.lit(r"(?U)\S\z")) & F.regexp_like("r", F.lit(r"(?U)^\S"))).select("doc_id", F.col("start").cast("long").alias("start"), word.alias("word"))
-
-
 @query("straddling", r"""SELECT doc_id, s AS start, regexp_extract(l, '(\S+)$', 1) || regexp_extract(r, '^(\S+)', 1) AS word FROM (SELECT doc_id, s, substr(text, 1, s) AS l, substr(text, s + 1) AS r FROM (SELECT doc_id, text, unnest(range(400, length(text), 400)) AS s FROM documents) WHERE trim(substr(text, s + 1, 500), ' ' || chr(9) || chr(10) || chr(13)) <> '') WHERE regexp_matches(l, '\S$') AND regexp_matches(r, '^\S')""")
 def q_straddling(spark, sf_dir):
-    return straddling(passages(spark, sf_dir))
+    """Chunks that begin within a word, and the word."""
+    return T.cut_words(passages(spark, sf_dir)).withColumn("start", F.col("start").cast("long"))
 
 
 @query("chunk_stats", r"""WITH c AS (SELECT doc_id, s, substr(text, s + 1, 500) AS c FROM (SELECT doc_id, text, unnest(range(0, length(text), 400)) AS s FROM documents) WHERE trim(substr(text, s + 1, 500), ' ' || chr(9) || chr(10) || chr(13)) <> ''),
@@ -55,9 +54,8 @@ def chunk_stats(spark, sf_dir):
 @query("table_cut", "SELECT doc_id, min(s) AS start FROM (SELECT doc_id, s, substr(text, s + 1, 40) AS head, substr(text, s - 39, 40) AS tail FROM (SELECT doc_id, text, unnest(range(400, length(text), 400)) AS s FROM documents)) WHERE regexp_matches(head, '[0-9]') AND regexp_matches(tail, '[0-9]') GROUP BY doc_id")
 def table_cut(spark, sf_dir):
     """The first chunk of a document whose cut has digits on both sides."""
-    c = T.chunk_fixed(passages(spark, sf_dir)).where("start > 0")
-    both = F.regexp_like(F.substring(F.col("text"), F.col("start") + 1, F.lit(40)), F.lit("[0-9]")) & F.regexp_like(F.substring(F.col("text"), F.col("start") - 39, F.lit(40)), F.lit("[0-9]"))
-    return c.where(both).groupBy("doc_id").agg(F.min("start").cast("long").alias("start"))
+    both = F.regexp_like(F.left("r", F.lit(40)), F.lit("[0-9]")) & F.regexp_like(F.right("l", F.lit(40)), F.lit("[0-9]"))
+    return T.cuts(passages(spark, sf_dir)).where(both).groupBy("doc_id").agg(F.min("start").cast("long").alias("start"))
 
 
 @query("text_measures", "SELECT doc_id, length(text)::BIGINT AS chars, strlen(text)::BIGINT AS bytes, (strlen(text) > length(text)) AS has_wide FROM documents")

@@ -9,11 +9,11 @@ from __future__ import annotations
 import math
 import uuid
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.catalog import query
+from siltstone.functions.text import running_sums
 from siltstone.operators.lexical import RANGE, _base, joined, lists, passages, worded
 from siltstone.session import remove, settle, shared_dir, table
 from siltstone.sources.files import write_segments
@@ -34,7 +34,7 @@ def gaps(ids: Column) -> Column:
 
 def from_gaps(steps: Column) -> Column:
     """Running sums: the inverse of gaps."""
-    return F.pandas_udf(lambda s: s.map(lambda x: np.cumsum(np.asarray(x, np.int64)).tolist()), "array<long>", F.PandasUDFType.SCALAR)(steps)
+    return running_sums(steps)
 
 
 def code_length(value: Column) -> Column:
@@ -149,7 +149,17 @@ def manifest(postings: DataFrame) -> list[tuple[str, int]]:
     return [(str(r["segment_id"]), r["n"]) for r in rows]
 
 
-@query("merge_policy")
+@query("merge_policy", f"""WITH RECURSIVE z AS (SELECT (max(doc_id) + {MANY}) // {MANY} AS size FROM documents),
+c AS (SELECT doc_id // (SELECT size FROM z) AS s, count(*) AS n FROM documents GROUP BY 1),
+m AS (SELECT list({{'n': n, 'parts': 1::BIGINT}} ORDER BY s) AS live, 0::BIGINT AS rewritten FROM c
+UNION ALL
+SELECT list_append(list_transform(list_filter(range(1, len(live) + 1), lambda i: NOT list_contains(pos, i)), lambda i: live[i]), {{'n': n, 'parts': parts}}), rewritten + n
+FROM (SELECT *, list_sum(list_transform(pos, lambda i: live[i].n))::BIGINT AS n, list_sum(list_transform(pos, lambda i: live[i].parts))::BIGINT AS parts
+FROM (SELECT *, list_filter(range(1, len(live) + 1), lambda i: tiers[i] = tier)[1:4] AS pos
+FROM (SELECT *, list_min(list_filter(tiers, lambda u: len(list_filter(tiers, lambda v: v = u)) >= 4)) AS tier
+FROM (SELECT *, list_transform(live, lambda x: floor(ln(x.n) / ln(4))) AS tiers FROM m))) WHERE tier IS NOT NULL))
+SELECT (i - 1)::INT AS segment, live[i].parts::INT AS parts, live[i].n AS docs, rewritten
+FROM (SELECT *, unnest(range(1, len(live) + 1)) AS i FROM (SELECT * FROM m ORDER BY rewritten DESC LIMIT 1))""")
 def merge_policy(spark, sf_dir, fan=4):
     """group, segments and docs after the policy has run over 64 slices of the ids."""
     n = (table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0) + 1

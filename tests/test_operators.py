@@ -1,6 +1,7 @@
 """Literal cases of the operators."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,6 +224,42 @@ def test_chunks(spark):
     assert " ".join(c["text"] for c in got).split() == text.split() and all(len(c["text"]) <= 60 and c["text"][-1] in ".!?" for c in got)
 
 
+def packed(text, most):
+    """Sentence chunks one sentence at a time."""
+    out, at = [], 0
+    for s in filter(None, re.split(r"(?<=[.!?])\s+", text)):
+        if out and len(out[-1][1]) + 1 + len(s) <= most:
+            out[-1][1] += " " + s
+        else:
+            out.append([at, s])
+        at += len(s) + 1
+    return [(start, start + len(s), s) for start, s in out]
+
+
+CHUNKED = ["", " ", "\n\n", "  Led by blanks. And ended by them.  ", "No end", "One.  Two!\n\nThree?\t", ". . b ... c", "é😀. " * 40, "x" * 130 + ". Short. " + "y" * 70, "a" * 59 + ". b. " + "c" * 60 + " d. e", "Dr.No stop. " * 9 + "\n", "x" * 1000]
+
+
+@pytest.mark.parametrize("text", CHUNKED)
+@pytest.mark.parametrize("most", [5, 60])
+def test_sentence_chunks_against_brute_force(spark, text, most):
+    assert [tuple(c) for c in one(spark, T.sentence_chunks(F.lit(text), most))] == packed(text, most)
+
+
+@pytest.mark.parametrize("size, overlap", [(60, 10), (50, 0), (10, 9), (30, 20)])
+def test_fixed_chunks_against_brute_force(spark, size, overlap):
+    rows = T.chunk_fixed(docs_of(spark, [*CHUNKED, None]), size=size, overlap=overlap).collect()
+    want = {(d, s, min(s + size, len(t)), t[s : s + size]) for d, t in enumerate(CHUNKED) for s in range(0, len(t), size - overlap) if t[s : s + size].strip()}
+    assert {(r["doc_id"], r["start"], r["end"], r["chunk"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_cut_words_against_brute_force(spark):
+    want = set()
+    for d, t in enumerate(CHUNKED):
+        spans = [m.span() for m in re.finditer(r"\S+", t)]
+        want |= {(d, s, t[a:b]) for s in range(20, len(t), 20) for a, b in spans if a < s < b}
+    assert {tuple(r) for r in T.cut_words(docs_of(spark, [*CHUNKED, None]), 20).collect()} == want
+
+
 @pytest.mark.parametrize("line, fields", [("a,b", ["a", "b"]), ('"a,b",c', ["a,b", "c"]), ('"say ""hi""",x', ['say "hi"', "x"]), ("a,,b", ["a", "", "b"]), ("a,", ["a", ""]), ("", [""]), (",a", ["", "a"]), ('x"y,z"w,""', ["xy,zw", ""]), ('"open, to the end', ["open, to the end"]), ('a"b""c",d', ['ab"c', "d"])])
 def test_csv(spark, line, fields):
     assert one(spark, parse.csv_fields(F.lit(line))) == fields

@@ -106,7 +106,7 @@ def answer(question: str, records: DataFrame, lines: DataFrame, child: str = "Se
         return text(records.where(F.col("total") > float(m[1].replace(",", ""))).agg(F.count("*").alias("a")))
     for mark, make in (
         ("largest total", lambda: records.orderBy(F.desc_nulls_last("total"), "invoice_id").limit(1).select(F.col("invoice_id").alias("a"))),
-        ("total value of every invoice", lambda: records.agg(two(F.sum("total")))),
+        ("total value of every invoice", lambda: records.agg(two(F.sum(F.col("total").cast("decimal(18,2)"))))),  # exact: a sum of doubles is off by cents over millions of them
         ("average invoice total", lambda: records.agg(two(F.avg("total")))),
         ("overdue", lambda: records.where("status = 'overdue'").agg(F.count("*").alias("a"))),
         ("servo motors", lambda: lines.where(F.ilike("description", F.lit(f"{child}%"))).agg(F.sum("quantity").alias("a"))),

@@ -373,3 +373,8 @@ def test_rerank_reads_vectors_and_whole_queries(spark):
     items = spark.createDataFrame([(7, "ключ слово другое"), (8, "a1 a2 a3 a4 a5 a6 a7 a8 needle")], "item_id int, text string")
     best = {r["qid"]: r["doc_id"] for r in vectors.reranked(docs, items).where("rank = 1").collect()}
     assert best == {7: 1, 8: 2}
+
+
+def test_grand_total_is_exact(spark):
+    rows = spark.createDataFrame([(0, 1e15)] + [(i, 0.01) for i in range(1, 101)], "invoice_id long, total double").coalesce(1)
+    assert records.answer("What is the total value of every invoice?", rows, None).collect()[0][0] == "1000000000000001.00"

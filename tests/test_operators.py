@@ -3,6 +3,7 @@
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -378,3 +379,22 @@ def test_rerank_reads_vectors_and_whole_queries(spark):
 def test_grand_total_is_exact(spark):
     rows = spark.createDataFrame([(0, 1e15)] + [(i, 0.01) for i in range(1, 101)], "invoice_id long, total double").coalesce(1)
     assert records.answer("What is the total value of every invoice?", rows, None).collect()[0][0] == "1000000000000001.00"
+
+
+@pytest.mark.parametrize("cosine", [False, True])
+def test_best_holds_k_of_each_query_whatever_is_offered(monkeypatch, cosine):
+    monkeypatch.setattr(vectors, "ROWS", 7)
+    monkeypatch.setattr(vectors, "TILE", 20)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-1, 2, (200, 4)).astype(np.float32)  # few different vectors: ties, and zeros
+    q, ids = x[::9], rng.permutation(200)
+    best = vectors.Best(q, 5, cosine)
+    for i in range(0, 200, 40):
+        best.offer(x[i : i + 40], ids[i : i + 40])
+    assert best.scores.shape == best.ids.shape == (len(q), 5)
+    length = lambda m: np.sqrt((m.astype(float) ** 2).sum(axis=1))
+    for v, n, got, scores in zip(q, length(q), best.ids, best.scores, strict=True):
+        s = x.astype(float) @ v
+        s = np.round(np.divide(s, n * length(x), out=np.zeros(200), where=n * length(x) > 0) if cosine else s, 6)
+        want = np.lexsort((ids, -s))[:5]
+        assert got.tolist() == ids[want].tolist() and np.allclose(scores, s[want])

@@ -131,11 +131,11 @@ def pivoted_topk(lists: list[tuple[np.ndarray, np.ndarray]], k: int, stride: int
 def wand_topk(index: Index, k: int = TOP, width: int = RANGE, kernel=pruned_topk) -> DataFrame:
     """qid, doc_id, score, rank by BM25 over distinct terms; kernel: pruned_topk, pivoted_topk or document_at_a_time."""
     part = idf_of(index.n) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl or 1.0)))
-    terms = index.asked.select("term", "df").distinct()
-    rows = index.postings.join(small(terms), "term").select(F.floor(F.col("doc_id") / width).alias("part"), "term", "doc_id", part.alias("c"))
-    packed = rows.groupBy("part", "term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "c"))).alias("p"))  # at most `width` documents; once a term, whoever asks
-    each = packed.select("part", "term", F.struct(F.col("p.doc_id").alias("ids"), F.col("p.c").alias("cs")).alias("list"))
-    lists = each.join(small(index.asked.select("qid", "term")), "term").groupBy("qid", "part").agg(F.collect_list("list").alias("lists"))
+    terms = index.asked.select("t", "df").distinct()
+    rows = index.postings.join(small(terms), "t").select(F.floor(F.col("doc_id") / width).alias("part"), "t", "doc_id", part.alias("c"))
+    packed = rows.groupBy("part", "t").agg(F.sort_array(F.collect_list(F.struct("doc_id", "c"))).alias("p"))  # at most `width` documents; once a term, whoever asks
+    each = packed.select("part", "t", F.struct(F.col("p.doc_id").alias("ids"), F.col("p.c").alias("cs")).alias("list"))
+    lists = each.join(small(index.asked.select("qid", "t")), "t").groupBy("qid", "part").agg(F.collect_list("list").alias("lists"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone import catalog
 from siltstone.functions import text as T
 from siltstone.operators import codec, lexical, parse, records, segments, vectors, wand
 from siltstone.plans import naive
@@ -398,3 +399,30 @@ def test_best_holds_k_of_each_query_whatever_is_offered(monkeypatch, cosine):
         s = np.round(np.divide(s, n * length(x), out=np.zeros(200), where=n * length(x) > 0) if cosine else s, 6)
         want = np.lexsort((ids, -s))[:5]
         assert got.tolist() == ids[want].tolist() and np.allclose(scores, s[want])
+
+
+@pytest.mark.parametrize("most", [1 << 22, 0])
+def test_matrices_rank_as_rows_do(spark, monkeypatch, most):
+    docs = docs_of(spark, ["the cat", "the dog the cat", "the", "", None, "the bird", "The cat", "the cat sat on the mat"]).withColumn("doc_id", F.col("doc_id") * 3)
+    items = spark.createDataFrame([(7, "the cat"), (2, "the the dog"), (5, "nowhere"), (6, "")], "item_id long, text string")
+    monkeypatch.setattr(lexical, "DOCS", 3)
+    monkeypatch.setattr(lexical, "MATRIX", most)
+    index = lexical.indexed(lexical.worded(docs), lexical.queries_of(items))
+    assert (index.n, index.avgdl) == (8, 17 / 8)
+    plain = {"counts": lexical.term_counts(index), "tfidf": lexical.tfidf(index), "bm25": lexical.bm25(index), "distinct": lexical.bm25(index, distinct=True)}
+    for name, found in lexical.best_of(index, tuple(plain), 3).items():
+        rows = lambda df: [(r["qid"], r["doc_id"], float(r["score"]), r["rank"]) for r in df.orderBy("qid", "rank").collect()]
+        assert rows(found) == rows(lexical.top_k(plain[name], 3)) and found.count() == 6
+
+
+def test_words_are_counted_where_they_are_read(spark):
+    docs = docs_of(spark, ["a b a", None, "c", "b b"])
+    counted = lexical.counted(lexical.worded(docs), ["a", "b"])
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert [(r["doc_id"], r["dl"], r["ts"], r["tfs"]) for r in counted.orderBy("doc_id").collect()] == [(0, 3, [0, 1], [2, 1]), (1, 0, [], []), (2, 1, [], []), (3, 2, [1], [2])]
+
+
+def test_both_rankings_come_from_one_index(spark, monkeypatch):
+    made, make = [], lexical.indexed
+    monkeypatch.setattr(lexical, "indexed", lambda *a: made.append(1) or make(*a))
+    assert catalog.queries()["agreement"](spark, "/root/testdata/sf0.001").count() == 1 and len(made) == 1

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siltstone.catalog import query
 from siltstone.functions.text import running_sums
 from siltstone.operators.lexical import RANGE, _base, joined, lists, passages, worded
-from siltstone.session import remove, settle, shared_dir, table
+from siltstone.session import pieces, remove, settle, shared_dir, table
 from siltstone.sources.files import write_segments
 
 #: Documents of a block and of a batch; slices of the ids that are segments, few and many.
@@ -182,11 +182,17 @@ def compact(spark: SparkSession, stored: str, to: str, fan: int = 4) -> int:
     return rewritten
 
 
+def _by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents by ranges of ids in parts of bounded size: a part's postings go to the files of one or a few segments."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.repartitionByRange(pieces(docs), "doc_id")
+
+
 @query("stored_segment_search", f"{_SEG} SELECT DISTINCT doc_id, (SELECT count(DISTINCT segment_id) FROM g) AS fan_out FROM g WHERE term = 'then'")
 def stored_segment_search(spark, sf_dir, term="then"):
     """Segments written to the store, and searched there: the filter on the sorted term skips row groups."""
     folder = f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
-    write_segments(segment_postings(passages(spark, sf_dir)), folder)
+    write_segments(segment_postings(_by_range(spark, sf_dir)), folder, placed=True)
     stored = spark.read.parquet(folder)
     fan = stored.select("segment_id").distinct().count()
     found = settle(stored.where(F.col("term") == term).select("doc_id").distinct().withColumn("fan_out", F.lit(fan).cast("long")))
@@ -198,7 +204,7 @@ def stored_segment_search(spark, sf_dir, term="then"):
 def compaction(spark, sf_dir):
     """Document frequencies over stored segments after the policy has merged them, and whether there are fewer."""
     folder = f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
-    write_segments(segment_postings(passages(spark, sf_dir), MANY), f"{folder}/old")
+    write_segments(segment_postings(_by_range(spark, sf_dir), MANY), f"{folder}/old", placed=True)
     compact(spark, f"{folder}/old", f"{folder}/new")
     old, new = (spark.read.parquet(f"{folder}/{x}") for x in ("old", "new"))
     fewer = new.select("segment_id").distinct().count() < old.select("segment_id").distinct().count()

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import pieces
+
+#: Ids whose postings stay together in one file of a segment.
+SLICE = 4096
+
 
 def passages_tsv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """pid, text: lines split at the first tab; bytes that are no UTF-8 become U+FFFD. A limit takes the smallest pids."""
@@ -116,9 +121,13 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.element_at(parts, 1).alias("term"), F.split(F.element_at(parts, 2), ",").cast("array<long>").alias("ids"))
 
 
-def write_segments(postings: DataFrame, path: str) -> None:
-    """Postings by segment; a segment is a partition of the table, sorted by term so that row groups can be skipped."""
-    postings.repartition("segment_id").sortWithinPartitions("segment_id", "term", "doc_id").write.mode("overwrite").partitionBy("segment_id").parquet(path)
+def write_segments(postings: DataFrame, path: str, placed: bool = False) -> None:
+    """Postings by segment; a segment is a partition of the table, its files each sorted by term so that row groups can be skipped.
+
+    A file holds a range of ids, so that no task has a whole segment; `placed`: each part of postings has such a range already.
+    """
+    near = postings if placed else postings.repartition(pieces(postings), "segment_id", F.floor(F.col("doc_id") / SLICE))
+    near.sortWithinPartitions("segment_id", "term", "doc_id").write.mode("overwrite").partitionBy("segment_id").parquet(path)
 
 
 def small_files(docs: DataFrame, per_file: int = 12) -> DataFrame:

@@ -12,6 +12,7 @@ from siltstone.functions import text as T
 from siltstone.operators import codec, lexical, parse, records, segments, vectors, wand
 from siltstone.plans import naive
 from siltstone.sources import files
+from siltstone.streaming import ingest
 
 
 def one(spark, column):
@@ -426,3 +427,24 @@ def test_both_rankings_come_from_one_index(spark, monkeypatch):
     made, make = [], lexical.indexed
     monkeypatch.setattr(lexical, "indexed", lambda *a: made.append(1) or make(*a))
     assert catalog.queries()["agreement"](spark, "/root/testdata/sf0.001").count() == 1 and len(made) == 1
+
+
+def test_no_task_has_a_whole_segment(spark, tmp_path):
+    rows = spark.range(40_000).select((F.col("id") % 2).alias("segment_id"), F.lit("the").alias("term"), F.col("id").alias("doc_id"))
+    files.write_segments(rows, f"file://{tmp_path}/s")
+    got = spark.read.parquet(f"file://{tmp_path}/s")
+    assert len(list((tmp_path / "s" / "segment_id=0").glob("*.parquet"))) > 1
+    assert got.groupBy("segment_id").agg(F.count_distinct("doc_id").alias("n")).orderBy("segment_id").collect() == [(0, 20_000), (1, 20_000)]
+
+
+def test_streamed_files_grow_in_number_not_in_size(spark, monkeypatch):
+    seen, run = [], ingest.ingest
+    monkeypatch.setattr(ingest, "PER_CORE", 1 << 12)
+    monkeypatch.setattr(ingest, "ingest", lambda s, source, *a: seen.append((len(s.read.parquet(source).inputFiles()), a[-1])) or run(s, source, *a))
+    rows = catalog.queries()["stream_segments"](spark, "/root/testdata/sf0.001").count()
+    assert seen[0][0] > 16 and 2 < seen[0][1] < seen[0][0] and rows > 0
+
+
+def test_postings_are_counted_in_the_parts_that_texts_are_dealt_to(spark):
+    plan = catalog.queries()["weighted_postings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "hashpartitioning(term" not in plan

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.catalog import query
 from siltstone.operators.lexical import _base, worded
-from siltstone.session import shared_dir
+from siltstone.session import PER_CORE, file_bytes, shared_dir, table
 
 
 def ingest(spark: SparkSession, source: str, segments: str, checkpoint: str, files_per_batch: int = 1, source_glob: str = "*.parquet") -> None:
@@ -33,6 +33,8 @@ def current(spark: SparkSession, segments: str) -> DataFrame:
 def stream_segments(spark, sf_dir):
     """documents streamed in as segments, then document frequencies over all segments."""
     folder = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition(4, "doc_id").write.parquet(f"{folder}/in")
-    ingest(spark, f"{folder}/in", f"{folder}/segments", f"{folder}/state", 2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = max(4, -(-file_bytes(docs) // PER_CORE))  # files of bounded size, a batch of two, or an eighth of many
+    docs.repartition(n, "doc_id").write.parquet(f"{folder}/in")
+    ingest(spark, f"{folder}/in", f"{folder}/segments", f"{folder}/state", max(2, -(-n // 8)))
     return current(spark, f"{folder}/segments").groupBy("term").agg(F.count("*").alias("df"))

@@ -448,3 +448,10 @@ def test_streamed_files_grow_in_number_not_in_size(spark, monkeypatch):
 def test_postings_are_counted_in_the_parts_that_texts_are_dealt_to(spark):
     plan = catalog.queries()["weighted_postings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "hashpartitioning(term" not in plan
+
+
+def test_ids_that_are_no_numbers_are_ranked_by_rows(spark):
+    docs = spark.createDataFrame([("x", "the cat"), ("y", "the dog the dog")], "doc_id string, text string")
+    items = spark.createDataFrame([("q", "dog"), ("r", "cat the")], "item_id string, text string")
+    found = lexical.best_of(lexical.indexed(lexical.worded(docs), lexical.queries_of(items)), ("bm25",), 1)["bm25"]
+    assert [(r["qid"], r["doc_id"]) for r in found.orderBy("qid").collect()] == [("q", "y"), ("r", "x")]

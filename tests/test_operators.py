@@ -455,3 +455,12 @@ def test_ids_that_are_no_numbers_are_ranked_by_rows(spark):
     items = spark.createDataFrame([("q", "dog"), ("r", "cat the")], "item_id string, text string")
     found = lexical.best_of(lexical.indexed(lexical.worded(docs), lexical.queries_of(items)), ("bm25",), 1)["bm25"]
     assert [(r["qid"], r["doc_id"]) for r in found.orderBy("qid").collect()] == [("q", "y"), ("r", "x")]
+
+
+def test_blocks_of_queries_give_the_same_rows(spark, monkeypatch):
+    v = vectors.vectors(spark, "/root/testdata/sf0.001")
+    rows = lambda: [sorted(tuple(r) for r in f(v, vectors.asked(v), 5).collect()) for f in (vectors.exact_topk, vectors.cell_topk)]
+    one = rows()
+    monkeypatch.setattr(vectors, "QUERIES", 4)
+    assert rows() == one and one[0]
+    assert vectors.exact_topk(v, vectors.asked(v).where("false"), 5).count() == 0

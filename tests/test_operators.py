@@ -3,11 +3,13 @@
 import math
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone import catalog
+from siltstone.functions import best
 from siltstone.functions import text as T
 from siltstone.operators import codec, lexical, parse, records, segments, vectors, wand
 from siltstone.plans import naive
@@ -464,3 +466,30 @@ def test_blocks_of_queries_give_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(vectors, "QUERIES", 4)
     assert rows() == one and one[0]
     assert vectors.exact_topk(v, vectors.asked(v).where("false"), 5).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_places_in_complete_rankings_are_counted_not_sorted(spark, tmp_path, monkeypatch, blocks):
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(60)])
+    texts = [" ".join(words[np.minimum(59, rng.geometric(0.08, rng.integers(1, 12)))]) for _ in range(700)]
+    texts = [None, "", "ONE"] + texts + texts[:300] * 7 + ["w1"] * 200  # many equal scores, and 3,003 documents
+    docs = [(int(i), t) for i, t in zip(rng.permutation(len(texts)) + 5, texts, strict=True)]
+    items = [(9, "w1 w2 w50"), (2, ""), (4, "w3 w3 w4 w7"), (7, None), (1, "unseen"), (30, texts[10])]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    sorted_, plain = [], vectors.top_k
+    monkeypatch.setattr(vectors, "top_k", lambda scores, k=10: (sorted_.append(scores.count()), plain(scores, k))[1])
+    if blocks:
+        monkeypatch.setattr(vectors, "CLOSE", 600)
+    got = sorted(map(tuple, catalog.queries()["rrf_full"](spark, str(tmp_path)).select("qid", "doc_id", "score", "rank").collect()))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.sql(f"SELECT qid, doc_id, score, rank FROM ({catalog.oracle_sql()['rrf_full']})").fetchall())
+    assert got == want and len(got) == 4 * len(items)
+    assert max(sorted_) < len(docs) * len(items) / 2
+
+
+def test_halves_are_rounded_as_in_sql():
+    assert best.rounded(np.array([1 / 128, -1 / 128, 3 / 128, 0.1234564, 0.0])).tolist() == [7813, -7813, 23438, 123456, 0]

@@ -103,7 +103,7 @@ _GAP = f"doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term, doc_id // {RANGE
 
 @query("gaps", f"{_base()}, g AS (SELECT term, doc_id, {_PART}, {_GAP} FROM p) SELECT term, part, string_agg(gap::VARCHAR, ',' ORDER BY doc_id) AS gaps FROM g GROUP BY ALL")
 def q_gaps(spark, sf_dir):
-    return lists(worded(passages(spark, sf_dir))).select("term", "part", joined(gaps(F.col("ids"))).alias("gaps"))
+    return lists(passages(spark, sf_dir)).select("term", "part", joined(gaps(F.col("ids"))).alias("gaps"))
 
 
 @query("varbyte_sizes", f"""{_base()}, g AS (SELECT {_GAP} FROM p),

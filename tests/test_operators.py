@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -493,3 +494,40 @@ def test_places_in_complete_rankings_are_counted_not_sorted(spark, tmp_path, mon
 
 def test_halves_are_rounded_as_in_sql():
     assert best.rounded(np.array([1 / 128, -1 / 128, 3 / 128, 0.1234564, 0.0])).tolist() == [7813, -7813, 23438, 123456, 0]
+
+
+def test_lists_are_inverted_where_texts_are_read(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = [None, "", "...", "Ab-c é1é ab", "x"] + [" ".join(f"{'É,'[i % 2]}W{w}" for i, w in enumerate(rng.integers(0, 40, rng.integers(0, 9)))) for _ in range(600)]
+    docs = spark.createDataFrame([(int(i), t) for i, t in zip(rng.permutation(len(texts)) * 3, texts, strict=True)], "doc_id long, text string").repartition(3)
+    want = {}
+    for r in docs.select("doc_id", F.explode(F.array_distinct(T.tokens("text"))).alias("t")).collect():
+        want.setdefault((r["t"], r["doc_id"] // 100), []).append(r["doc_id"])
+    for n in (1, 50, 1 << 20):  # a text or word at once, some, all
+        monkeypatch.setattr(lexical, "BYTES", n)
+        monkeypatch.setattr(lexical, "WORDS", n)
+        for rows in (docs, lexical.worded(docs)):
+            got = lexical.lists(rows, 100).collect()
+            assert {(r["term"], r["part"]): r["ids"] for r in got} == {k: sorted(v) for k, v in want.items()} and len(got) == len(want)
+    plan = lexical.lists(docs, 100)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "collect_list" not in plan  # lists are sorted and moved, no row for each posting
+
+
+def test_lists_of_small_batches_are_put_together(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("all"), (F.col("id") % 7).cast("string")).alias("text")).repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {(r["term"], r["part"]): r["ids"] for r in lexical.lists(docs, 1000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 24 and got[("all", 1)] == list(range(1000, 2000)) and got[("3", 2)] == [i for i in range(2000, 3000) if i % 7 == 3]
+
+
+def test_lists_are_coded_together():
+    rng = np.random.default_rng(12)
+    rows = [sorted(set(rng.integers(0, 1 << int(b), rng.integers(0, 30)).tolist())) for b in rng.integers(1, 60, 300)] + [[], [0], [2**62], [-5, 7]]
+    coded = codec.encode_lists(pa.array(rows, pa.list_(pa.int64())))
+    assert [bytes(x) for x in coded.to_pylist()] == [codec.encode(np.diff(np.array(r, np.int64), prepend=0)) if r else b"" for r in rows]
+    assert codec.decode_lists(coded).to_pylist() == rows
+    assert codec.decode_lists(coded.slice(5, 40)).to_pylist() == rows[5:45] and codec.encode_lists(pa.array(rows, pa.list_(pa.int64())).slice(3, 9)).to_pylist() == coded.to_pylist()[3:12]
+    assert codec.decode_lists(codec.encode_lists(pa.array([], pa.list_(pa.int64())))).to_pylist() == []
